@@ -102,6 +102,12 @@ def shape(token: str) -> float:
     return 1.0 if token.islower() and len(token) <= 4 else 0.3
 
 
+def clipped(token: str, word: str) -> bool:
+    """Whether a token abbreviates a word of its column: it ends in a point or lacks two fifths of the letters."""
+    t, w = fold(token).strip("."), fold(word)
+    return bool(t) and (token.endswith(".") or 5 * len(t) <= 3 * len(w)) and shortens(t, w)
+
+
 def profile(values: list[tuple[str, float]]) -> Profile:
     """Progressive alignment: the longest and heaviest value opens the profile, the others join by falling weight."""
     out: Profile = []
@@ -118,7 +124,7 @@ def consensus(columns: Profile) -> list[str]:
         tokens = sorted((t for t in col if t), key=lambda t: (-shape(t), -len(t), t))
         for t in tokens:
             votes[t] = votes.get(t, 0.0) + col[t] * shape(t)
-            fuller = next((u for u in tokens if u != t and shortens(fold(t).strip("."), fold(u))), None) or next((u for u in tokens if u != t and fold(u) == fold(t) and shape(u) > shape(t)), None)
+            fuller = next((u for u in tokens if u != t and clipped(t, u)), None) or next((u for u in tokens if u != t and fold(u) == fold(t) and shape(u) > shape(t)), None)
             if fuller:
                 votes[fuller] = votes.get(fuller, 0.0) + votes.pop(t) + col[t] * 0.5
         best = max(votes, key=lambda t: (votes[t], t))
@@ -274,8 +280,8 @@ def nearest(canonical: dict[int, str | None]):
 
 
 def voters(values: list[tuple[str, float]], name: str | None) -> list[tuple[str, float]]:
-    """The typed values and, for a listed place, its canonical name with the weight of them all."""
-    return values + [(name, sum(w for _, w in values))] if name else values
+    """The typed values and, for a listed place, its canonical name with four times the weight of them all."""
+    return values + [(name, 4 * sum(w for _, w in values))] if name else values
 
 
 def settle_hot(rows: DataFrame, canonical: dict[int, str | None]) -> DataFrame:
@@ -297,7 +303,7 @@ def settle_hot(rows: DataFrame, canonical: dict[int, str | None]) -> DataFrame:
                 for p in sorted(([{x["t"]: x["w"] for x in c} for c in p] for p in parts), key=lambda p: (-len(p), str(p))):
                     total = merge(total, p)
                 if name := canonical.get(place):
-                    total = merge(total, [{t: sum(total[0].values())} for t in name.split()])
+                    total = merge(total, [{t: 4 * sum(total[0].values())} for t in name.split()])
                 out.append(consensus(total))
             yield pa.RecordBatch.from_arrays([b.column("arxiv_id"), b.column("place"), pa.array(out, pa.list_(pa.string()))], ["arxiv_id", "place", "agreed"])
 
