@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import nearest, neardup, packing, survivor, tokens, venues
+from quillspark.llm import names, nearest, neardup, packing, survivor, tokens, venues
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -15,6 +15,10 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return survivor.field_survivors(table(spark, folder, "ingest_records"), table(spark, folder, "source_list"), table(spark, folder, "venue_list"))
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return names.name_pairs(table(spark, folder, "papers"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return nearest.neighbour_pairs(table(spark, folder, "papers"))
 
@@ -36,4 +40,4 @@ def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p4_found, p5_found, p6_found, p7_ids, p8_containers)}
+    return {f.__name__: f for f in (p1_found, p2_found, p4_found, p5_found, p6_found, p7_ids, p8_containers)}
