@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import names, nearest, neardup, packing, survivor, tokens, venues
+from quillspark.llm import matching, names, nearest, neardup, packing, survivor, tokens, venues
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -19,6 +19,14 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return names.name_pairs(table(spark, folder, "papers"))
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return matching.match_works(table(spark, folder, "papers"), table(spark, folder, "s2_records")).select("arxiv_id", "rec_id")
+
+
+def p3_confidence(spark: SparkSession, folder: str) -> DataFrame:
+    return matching.match_works(table(spark, folder, "papers"), table(spark, folder, "s2_records"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return nearest.neighbour_pairs(table(spark, folder, "papers"))
 
@@ -40,4 +48,4 @@ def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p2_found, p4_found, p5_found, p6_found, p7_ids, p8_containers)}
+    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_confidence, p4_found, p5_found, p6_found, p7_ids, p8_containers)}
