@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import matching, names, nearest, neardup, packing, survivor, tokens, venues
+from quillspark.llm import matching, names, nearest, neardup, packing, residue, survivor, tokens, venues
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -47,5 +47,9 @@ def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(tokens.encode_column(table(spark, folder, "documents"), sizes_only=True))
 
 
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return residue.residue(table(spark, folder, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_confidence, p4_found, p5_found, p6_found, p7_ids, p8_containers)}
+    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_confidence, p4_found, p5_found, p6_found, p7_ids, p8_containers, p9_found)}
