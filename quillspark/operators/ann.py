@@ -17,10 +17,10 @@ def unit(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.where(n > 0).select(F.col(id_col).alias("id"), scaled.alias("u")).withColumn("v", array_to_vector("u"))
 
 
-def lsh_neighbours(rows: DataFrame, id_col: str, vector_col: str, k: int, radius: float = 0.9) -> DataFrame:
+def lsh_neighbours(rows: DataFrame, id_col: str, vector_col: str, k: int, radius: float = 1.3) -> DataFrame:
     """(id, neighbour, similarity): pairs within a Euclidean radius of unit vectors, found by random projections; the best k of each."""
     data = unit(rows, id_col, vector_col)
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=0.6, numHashTables=6, seed=7).fit(data)
+    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=1.2, numHashTables=8, seed=7).fit(data)
     near = model.approxSimilarityJoin(data, data, radius, distCol="d").where("datasetA.id <> datasetB.id").select(F.col("datasetA.id").alias("id"), F.col("datasetB.id").alias("neighbour"), F.round(1 - F.col("d") * F.col("d") / 2, 6).alias("similarity"))
     from pyspark.sql.window import Window
 
