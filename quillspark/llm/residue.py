@@ -69,7 +69,10 @@ _SLOTS = re.compile(
         ]
     )
 )
-_DELIMITER = re.compile(r"[\[{<«@~|]|%\s?[A-Za-z<]|__|&lt;|\(your |\(insert|\(enter|\(add ", re.I)
+_DELIMITERS = ("[", "{", "<", "@", "~", "|", "%", "__", "&lt;", "«")
+_ASKING = re.compile(r"\((?:your|insert|enter|add)\s", re.I)
+_NUMBERED = re.compile(r"^\W*\[\d+\]")
+_BAD = ("[object", "#N/A", "#REF", "#VALUE", "null", "undefined", "NaN", "None", "nil")
 _MENTION = re.compile(
     r"\b(such as|tokens? like|fields? like|markers? like|written as|denotes?|denoted|e\.g\.|for example|for instance|stands? for|called|spelled|tags?|macros?|markers?|column|grammar|syntax|slots?|sentence frame|"
     r"placeholders? (in|are|were|of|that|like)|template engines?|regular expression|templates? (such|like|with|whose|are|were)|marked (a |the )?\w+ as|escape|quoted|wie etwa|zum beispiel|par exemple|por ejemplo|por exemplo|например|例如)\b",
@@ -78,6 +81,8 @@ _MENTION = re.compile(
 _BAD_FILL = re.compile(r"\[object Object\]|#N/A|#REF!|#VALUE!|\(null\)|(?<![\w.])(?:undefined|NaN|null|None|nil)(?![\w.]*\w)")
 _LABELLED_FILL = re.compile(r"\b(title|authors?|venue|year|doi|abstract|journal|volume|pages|cited|published in|dear|by|topic|keywords?|score of|showing|query)\b\s*:?\s*[\"“(]?(\[object Object\]|#N/A|#REF!|\(null\)|undefined|NaN|null|nil)(?!\w)", re.I)
 
+_NONE_FILL = re.compile(r"\b[Cc]ited None times|\b(?:Title|Authors?|Venue|Year|Doi|DOI|Abstract)\s*:\s*None\b")
+
 # Messages: patterns for a whole segment; they start where the segment starts.
 _SCRIPT = r"(java\s?script|js|scripts?|scripting|script execution|active content|client-side (code|scripting|scripts)|browser scripts?)"
 _STRONG = re.compile(
@@ -160,6 +165,24 @@ _CUES = tuple(
         "gone|forbidden|request|js |js.|db "
     ).split("|")
 )
+try:  # one pass for all cues where the library is at hand
+    import ahocorasick
+
+    _AUTOMATON = ahocorasick.Automaton()
+    for _c in _CUES:
+        _AUTOMATON.add_word(_c, 1)
+    _AUTOMATON.make_automaton()
+except ImportError:
+    _AUTOMATON = None
+
+
+def has_cue(low: str) -> bool:
+    """Whether a lower-cased segment has a word that any of the messages has."""
+    if _AUTOMATON is None:
+        return any(map(low.__contains__, _CUES))
+    return next(_AUTOMATON.iter(low), None) is not None
+
+
 _CODE = re.compile(r"\b[45]\d\d\b|^\s*at [\w.$]+\(")
 # Weaker phrases count only as messages that recur across sites.
 _WEAK = re.compile(
@@ -210,7 +233,8 @@ def asks_for_field(inner: str, whole: str = "") -> bool:
 
 def has_slot(segment: str) -> bool:
     """Whether a segment holds an unfilled slot that it doesn't merely mention."""
-    if not _DELIMITER.search(segment):
+    bare = _NUMBERED.sub("", segment) if "[" in segment else segment  # the number of a reference
+    if not any(d in bare for d in _DELIMITERS) and not ("(" in bare and _ASKING.search(bare)):
         return False
     found = [m for m in _SLOTS.finditer(segment) if asks_for_field(next(g for g in m.groups() if g is not None))]
     if not found:
@@ -222,38 +246,40 @@ def has_slot(segment: str) -> bool:
 
 
 def is_filler(segment: str) -> bool:
-    """Latin filler, nonsense, or one word over and over."""
+    """Latin filler, nonsense, or one word over and over; as a whole, or in a run at the head of a longer segment."""
+    quick = segment.lower().split()
+    if len(quick) < 3:
+        return False
+    latin = sum(w[:4] in LATIN for w in quick)
+    if latin < 4 and not any(w.strip(".,;:!?") in NONSENSE or set(w) <= _X for w in quick):
+        return False
     ws = re.findall(r"[^\W\d_]+", segment.lower())
     if len(ws) < 3:
         return False
     latin = sum(w[:4] in LATIN for w in ws)
-    if len(ws) >= 4 and latin >= 0.6 * len(ws) and len(ws) - latin <= 0.4 * len(ws) and segment.isascii():
+    if len(ws) >= 4 and latin >= 0.6 * len(ws) and segment.isascii():
         return True
-    if all(set(w) <= {"x"} for w in ws):
-        return True
-    nonsense = sum(w in NONSENSE or set(w) <= {"x"} for w in ws)
-    return nonsense >= 0.6 * len(ws) and (len(set(ws)) <= 0.75 * len(ws) or nonsense == len(ws))
-
-
-def nonsense_run(segment: str) -> bool:
-    """A run of filler at the head of a longer segment that lacks a full stop of its own."""
-    ws = re.findall(r"[^\W\d_]+", segment.lower())
     odd = [w in NONSENSE or set(w) == {"x"} for w in ws]
+    if all(set(w) == {"x"} for w in ws) or (sum(odd) >= 0.6 * len(ws) and (len(set(ws)) <= 0.75 * len(ws) or all(odd))):
+        return True
     if any(sum(odd[k : k + 8]) >= 5 for k in range(max(1, len(ws) - 7))):
         return True
-    latin = 0
+    run = 0
     for w in ws:
-        latin = latin + 1 if w[:4] in LATIN and len(w) > 3 else 0
-        if latin >= 6:
+        run = run + 1 if w[:4] in LATIN and len(w) > 3 else 0
+        if run >= 6:
             return True
     return False
 
 
+_X = frozenset("x.,")
+
+
 def wrongly_filled(text: str) -> bool:
     """Values that stand for no value where a field should be: twice in a text, or after a field's label."""
-    if not _BAD_FILL.search(text):
+    if not any(b in text for b in _BAD) or not _BAD_FILL.search(text):
         return False
-    if _LABELLED_FILL.search(text):
+    if _LABELLED_FILL.search(text) or _NONE_FILL.search(text):
         return True
     for seg in _SPLIT.split(text):
         found = _BAD_FILL.findall(_QUOTED.sub(" ", seg))
@@ -267,7 +293,7 @@ def segments(text: str) -> list[str]:
     t = html.unescape(text) if "&" in text and "&lt;" not in text else text
     if not t.isascii():
         t = "".join(c for c in unicodedata.normalize("NFC", t) if c.isascii() or unicodedata.category(c) != "Cf")
-    t = _TAGS.sub("\n", t).replace("\r", "\n").replace("\xa0", " ").replace("　", " ")
+    t = (_TAGS.sub("\n", t) if "<" in t else t).replace("\r", "\n").replace("\xa0", " ").replace("　", " ")
     return [s.strip() for s in _SPLIT.split(t) if s and s.strip()]
 
 
@@ -278,11 +304,11 @@ def examine(text: str | None) -> tuple[bool, list[int]]:
     parts = segments(text)
     weak = []
     for s in parts:
-        if has_slot(s) or is_filler(s) or nonsense_run(s):
+        if has_slot(s) or is_filler(s):
             return True, []
         bare = _QUOTED.sub(" ", s) if len(s) > 60 else s
         head = bare.lstrip(" \t-–—*•·>#\"'([{")
-        if len(head) < 400 and (any(map(bare.lower().__contains__, _CUES)) or _CODE.search(bare)) and (_STRONG.search(head) or _STRONG.search(bare)):
+        if len(head) < 400 and (has_cue(bare.lower()) or _CODE.search(bare)) and (_STRONG.search(head) or _STRONG.search(bare)):
             return True, []
         if len(s) < 120 and _WEAK.search(head):
             weak.append(xxhash.xxh3_64_intdigest(masked(s)) - (1 << 63))
