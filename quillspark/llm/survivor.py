@@ -259,7 +259,9 @@ def venues(base: DataFrame, venue_list: DataFrame) -> DataFrame:
     rows = value.where(named).select("arxiv_id", "place", "venue", "weight", "first").join(chosen, ["arxiv_id", "place"])
     few = rows.where(F.col("k") <= GROUP_VALUES).groupBy("arxiv_id", "place").agg(F.collect_list(F.struct("venue", "weight", "first")).alias("few"))
     alone = few.where(F.size("few") == 1).select("arxiv_id", F.col("few")[0]["first"].alias("record_id"))
-    found = few.where(F.size("few") > 1).mapInArrow(nearest(canonical), "arxiv_id string, record_id long")
+    # the lists are small but costly to align: spread them over all cores, which sizes alone would not
+    cores = base.sparkSession.sparkContext.defaultParallelism
+    found = few.where(F.size("few") > 1).repartition(2 * cores, "arxiv_id").mapInArrow(nearest(canonical), "arxiv_id string, record_id long")
     big = settle_hot(rows.where(F.col("k") > GROUP_VALUES), canonical)
     return alone.unionByName(found).unionByName(big).select("arxiv_id", F.lit("venue").alias("field"), "record_id")
 
