@@ -153,16 +153,18 @@ _STRONG = re.compile(
 # A word that any of the messages has; most segments of real texts have none and are passed over quickly.
 _CUES = tuple(
     (
-        "script|cookie|active content|client-side|скрипт|сценар|脚本|スクリプト|http|denied|permission|authori|rights for|access|went wrong|an unexpected|an unknown|"
-        "an internal|sqlstate|database|traceback|exception|error|fatal|segmentation|uncaught|warning|closed the|did not answer|returned|responding|time|"
-        "could not|cannot be|not found|has moved|no longer|does not exist|removed|expired|typed|not available|unavailable|deleted|token did|session|too many|"
-        "is down|is temporarily|is currently|offline|undergoing|is under|unable to|failed|ran out|crashed|confirm|verify|prove|captcha|checking your|login|"
-        "log in|indisponible|introuvable|refusé|interdit|service est|dienst|server|seite|zugriff|servicio|servidor|página|acceso|serviço|acesso|страница|доступ|"
-        "сервис|сервер|页面|服务|访问|稍后|ページ|アクセス|サービス|しばらく|this paragraph|this text|this section|this sentence|this line|will appear|will be added|in this space|"
-        "this is |your |to be provided|to be added|to be written|to be supplied|coming soon| here|click|institution, city|author name|dummy|sample|placeholder|"
-        "filler|text follows|quick|bitte|hier |platzhalter|blindtext|saisissez|texte|remplacez|insérez|votre|escriba|inserte|reemplace|sustituya|texto|aquí|"
-        "escreva|digite|insira|substitua|aqui|замените|здесь|вставьте|введите|текст|填写|替换|输入|占位|插入|ここに|置き換え|書き換え|ダミー|サンプル|err_|moving the archive|full text is|"
-        "gone|forbidden|request|js |js.|db "
+        "javascript|java script|scripts|scripting|script execution|noscript|js is|js has|js could|js must|js seems|js and|js cannot|cookies|active content|client-side|скрипт|сценар|脚本|スクリプト|"
+        "http|denied|permission|authorized|authorised|rights for|have access|access to this|access is|access was|login|log in|went wrong|an unexpected|an unknown|an internal|unexpected condition|"
+        "sqlstate|database connection|database error|database failed|db error|db failed|mysql|postgres|traceback|exception|fatal|segmentation fault|uncaught|warning|error:|error -|error [|error 4|error 5|errors 4|"
+        "closed the connection|did not answer|returned no answer|returned an error|not responding|timed out|time-out|timeout|time out|could not be|could not render|could not load|could not display|could not open|could not find|cannot be found|not found|"
+        "has moved|no longer exists|does not exist|was removed|been removed|has expired|expired|typed incorrectly|not available|unavailable|been deleted|token did|your session|too many|is down|temporarily|is currently|offline|undergoing|is under|"
+        "unable to|failed to|connection failed|viewer failed|converter failed|renderer failed|request failed|ran out|crashed|confirm that you|verify that you|prove that you|captcha|checking your|bad request|bad gateway|forbidden|gone|too_many|"
+        "indisponible|introuvable|refusé|interdit|service est|serveur est|demandée|dienst|server|seite|zugriff|servicio|servidor|página|acceso|serviço|acesso|страница|доступ|сервис|сервер|页面|服务|访问|稍后|ページ|アクセス|サービス|しばらく|fehler|erreur|ошибка|erro |错误|エラー|"
+        "this paragraph|this text|this section|this sentence|this line|this placeholder|will appear|will be added|will be inserted|in this space|this is a placeholder|this is placeholder|this is a dummy|this is dummy|this is a sample|this is sample|this is filler|this is an example|this is example|"
+        "your account|your abstract|your text|your title|your summary|your content|your introduction|your paper title|your name|your conclusion|your keywords|to be provided|to be added|to be written|to be supplied|to be inserted|goes here|coming soon|something here|text here|title here|content here|here to edit|to edit|to add|"
+        "institution, city|author name|names here|names go|dummy|sample paragraph|sample text|sample abstract|sample sentence|sample content|placeholder|filler|text follows|follows here|the quick|hier steht|bitte |hier ihr|hier den|hier ein|platzhalter|blindtext|"
+        "saisissez|texte provisoire|faux texte|remplacez|insérez|votre|escriba|inserte|reemplace|sustituya|texto provisional|texto de|texto provis|aquí|escreva|digite|insira|substitua|aqui|замените|здесь|вставьте|введите|текст|填写|替换|输入|占位|插入|ここに|置き換え|書き換え|ダミー|サンプル|"
+        "err_|moving the archive|full text is|allow scripts|turn on|switch on|switched off|aktivieren|einschalten|activer|activez|habilit|ativ|включите|разрешите|启用|开启|打开|允许"
     ).split("|")
 )
 try:  # one pass for all cues where the library is at hand
