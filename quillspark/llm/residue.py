@@ -31,7 +31,7 @@ FIELDS = (
 )
 # Words around a field name that ask to fill it.
 ASKS = (
-    "insert|enter|add|type|fill in|fill|your|the|here|goes here|tbd|tba|todo|to do|fixme|xxx|please|put|name of|paste|provide|"
+    "请输入|请填写|请|してください|ください|insert|enter|add|type|fill in|fill|your|the|here|goes here|tbd|tba|todo|to do|fixme|xxx|please|put|name of|paste|provide|"
     "einfugen|hier|eingeben|bitte|ihr|ihre|inserer|ici|saisir|votre|entrer|insertar|aqui|su|escribir|introducir|inserir|seu|sua|digitar|вставить|вставьте|укажите|введите|здесь|插入|填写|在此|输入|此处|入力|挿入|ここ"
 )
 # Beginnings of the words of the usual Latin filler passage.
@@ -60,10 +60,10 @@ _SLOTS = re.compile(
             r"\[\s*" + _INNER + r"\s*\](?!\()",
             r"«\s*" + _INNER + r"\s*»",
             r"@@\s*" + _INNER + r"\s*@@",
-            r"(?<![\w%])%\s?([A-Za-z][\w .]{1,40}?)\s?%(?!\w)",
-            r"(?<!\w)__+\s?([^\W_][^\n]{0,40}?)\s?__+(?!\w)",
-            r"(?<![\w~])~\s?([^\W\d][\w .\-]{1,40}?)\s?~(?!\w)",
-            r"(?<![\w|])\|([^\W\d][\w.]{1,40})\|(?![\w|])",
+            r"(?<![A-Za-z0-9%])%\s?([A-Za-z][\w .]{1,40}?)\s?%(?![A-Za-z0-9])",
+            r"(?<![A-Za-z0-9_])__+\s?([^\W_][^\n]{0,40}?)\s?__+(?![A-Za-z0-9_])",
+            r"(?<![A-Za-z0-9~])~\s?([^\W\d][\w .\-]{1,40}?)\s?~(?![A-Za-z0-9])",
+            r"(?<![A-Za-z0-9|])\|([^\W\d][\w. ]{1,40})\|(?![A-Za-z0-9|])",
             r"\(([^()\n]{1,60}?)\)_{2,}",
             r"\(\s*((?:your|insert|enter|add)\s[^()\n]{1,50}?)\)",
         ]
@@ -105,6 +105,7 @@ _STRONG = re.compile(
             r"^(?:\W|http(?:/\d(?:\.\d)?)? ?|error:? ?|fehler:? ?|erreur:? ?|ошибка:? ?|erro:? ?|status:? ?|code:? ?|错误[:：]? ?|エラー:? ?|warning:? ?|fatal:? ?|request failed:? ?|unavailable:? ?)*(?:[45]\d\d)\b\W*(?:not found|forbidden|bad gateway|bad request|unauthori[sz]ed|gone|internal server error|service (?:temporarily )?unavailable|gateway time-?out(?!s)|request time-?out(?!s)|too many requests|$|no se|la página|la page|die (?:seite|angeforderte)|страница|页面|ページ|página|pagina|the |this |no |sorry|access|page|an? |database|your |too |request|security)",
             r"^err_\w+|^(?:unavailable|forbidden|gone|error|warning|fatal error|request failed|notice)\s+[-–—]\s+\w",
             r"^(?:\W|sorry\b)*the full text is not available|^we are moving the archive",
+            r"^internal server error\W*$|^(?:oops|whoops|uh-?oh)\b\W|^sorry\s*[-–—:.!]\s",
             r"^\(?(?:error|http|fehler|erreur|ошибка|erro|status) [45]\d\d\)?\W*$",
             r"^http/\d(?:\.\d)? [45]\d\d\b",
             r"^\(?[45]\d\d (?:not found|forbidden|bad gateway|gone|service unavailable|internal server error|gateway time-?out|unauthori[sz]ed|bad request)\)?\.?$",
@@ -154,7 +155,7 @@ _STRONG = re.compile(
 _CUES = tuple(
     (
         "javascript|java script|scripts|scripting|script execution|noscript|js is|js has|js could|js must|js seems|js and|js cannot|cookies|active content|client-side|скрипт|сценар|脚本|スクリプト|"
-        "http|denied|permission|authorized|authorised|rights for|have access|access to this|access is|access was|login|log in|went wrong|an unexpected|an unknown|an internal|unexpected condition|"
+        "http|denied|permission|authorized|authorised|rights for|have access|access to this|access is|access was|login|log in|went wrong|an unexpected|an unknown|an internal|unexpected condition|internal server|oops|uh-oh|uhoh|sorry|"
         "sqlstate|database connection|database error|database failed|db error|db failed|mysql|postgres|traceback|exception|fatal|segmentation fault|uncaught|warning|error:|error -|error [|error 4|error 5|errors 4|"
         "closed the connection|did not answer|returned no answer|returned an error|not responding|timed out|time-out|timeout|time out|could not be|could not render|could not load|could not display|could not open|could not find|cannot be found|not found|"
         "has moved|no longer exists|does not exist|was removed|been removed|has expired|expired|typed incorrectly|not available|unavailable|been deleted|token did|your session|too many|is down|temporarily|is currently|offline|undergoing|is under|"
@@ -167,40 +168,64 @@ _CUES = tuple(
         "err_|moving the archive|full text is|allow scripts|turn on|switch on|switched off|aktivieren|einschalten|activer|activez|habilit|ativ|включите|разрешите|启用|开启|打开|允许"
     ).split("|")
 )
+_ADDRESS_CUES = tuple(
+    (
+        "browser|reload|refresh|try again|again later|go back|help desk|helpdesk|administrator|sign in|login|log in|logged|cookie|scripts|script |scripting|javascript|server|link is broken|broken link|web page|webpage|this page|the page|start page|home page|homepage|search form|"
+        "settings and|support team|contact us|contact support|contact the|quota|unusual activity|request id|incident|rights for|withdrawn|maintenance|temporarily|internal error|instructions|delete this|delete these|placeholder|your |click|captcha|robot before|loading|redirect|expired|"
+        "unavailable|not found|document missing|report this problem|could not be|here are some things|no results|request failed|fatal error|oops|return to the|we apolog|sorry|file may be|check the identifier|plain version|choose your|public view|please |afterwards|not available in|"
+        "search the library|request blocked|will not load|has them| here|skript|seite|interner fehler|erneut|versuchen sie|laden sie|anmelden|melden sie|zugriff|platzhalter|kennung|dienst|ihre|bitte |navigateur|page|serveur|erreur interne|réessay|recharg|connectez|accès|désactiv|votre |"
+        "veuillez|remplac|saisi|navegador|página|servidor|error interno|vuelva|inténtelo|intente|recargue|acceso|desactivad|reemplace|sustituya|por favor|erro interno|tente |recarregue|acesso|desativad|substitua|браузер|страниц|сервер|внутренняя ошибка|повторите|попробуйте|обновите|"
+        "войдите|доступ |скрипт|замените|введите|пожалуйста|浏览器|页面|服务器|内部错误|重试|再试|刷新|登录|访问|脚本|请|ブラウザ|ページ|サーバー|内部エラー|お試し|再読み込み|ログイン|アクセス|スクリプト|ください"
+    ).split("|")
+)
 try:  # one pass for all cues where the library is at hand
     import ahocorasick
 
     _AUTOMATON = ahocorasick.Automaton()
-    for _c in _CUES:
-        _AUTOMATON.add_word(_c, 1)
+    for _c in dict.fromkeys(_CUES + _ADDRESS_CUES):
+        _AUTOMATON.add_word(_c, (_c in _CUES) + 2 * (_c in _ADDRESS_CUES))
     _AUTOMATON.make_automaton()
 except ImportError:
     _AUTOMATON = None
 
 
-def has_cue(low: str) -> bool:
-    """Whether a lower-cased segment has a word that any of the messages has."""
+def cues(low: str) -> int:
+    """Bit 1: a lower-cased segment has a word that any of the messages has; bit 2: one that speaks to a page's reader."""
     if _AUTOMATON is None:
-        return any(map(low.__contains__, _CUES))
-    return next(_AUTOMATON.iter(low), None) is not None
+        return any(map(low.__contains__, _CUES)) + 2 * any(map(low.__contains__, _ADDRESS_CUES))
+    got = 0
+    for _, bits in _AUTOMATON.iter(low):
+        got |= bits
+        if got == 3:
+            break
+    return got
 
 
 _CODE = re.compile(r"\b[45]\d\d\b|^\s*at [\w.$]+\(")
-# Weaker phrases count only as messages that recur across sites.
-_WEAK = re.compile(
-    r"^(?:no results\W*$|request failed|fatal error|unavailable\W*$|loading\W*$|\(?oops\)?|try again later|please try again|reload the page|return to the (?:start|search|home)|ask your administrator|"
-    r"please change your settings|use another browser|then press reload|we apologi[sz]e for the|the file may be damaged|sign in again|go back to the list|check the identifier|"
-    r"a plain version is not offered|some parts of the \w+ will not load|your browser has them|choose your library|the incident has been logged|request blocked)",
+# Words of pages that speak to their reader. A segment with one of them counts only as a message that recurs across sites.
+_ADDRESS = re.compile(
+    r"browser|reload|refresh|try again|again later|go back|help ?desk|administrator|sign in|log ?in\b|logged|cookies?\b|\bscripts?\b|scripting|javascript|\bserver\b|link is broken|broken link|web ?page|this page|the page|start page|home ?page|search form|"
+    r"settings and|support team|contact (?:us|support|the)|quota|unusual activity|request id|incident|rights for|withdrawn|maintenance|temporarily|internal error|server error|instructions|delete (?:this|these)|placeholder|your (?:abstract|text|title|paper|summary|device|account|"
+    r"address|download|connection|ip|institution|library|own|request|session)\b|\bclick|captcha|robot before|^loading|redirect|expired|unavailable|not found|document missing|report this problem|could not be (?:shown|displayed|opened|loaded|found|rendered)|here are some things|try again|no results|"
+    r"request failed|fatal error|\boops\b|return to the|we apologi[sz]e|sorry|file may be damaged|check the identifier|plain version|choose your|public view|please |afterwards\.|not available in|search the library|request blocked|will not load|has them|\bhere\b.{0,30}(?:text|abstract|title|summary)|"
+    r"(?:text|abstract|title|summary|paragraph)\b.{0,40}\bhere\b|skripte?n?\b|\bseite\b|interner fehler|erneut|versuchen sie|laden sie|anmelden|melden sie|zugriff|platzhalter|kennung|\bdienst\b|ihre[nr]? |bitte |navigateur|\bpage\b|serveur|erreur interne|réessay|recharg|connectez|accès|désactiv|votre |veuillez|"
+    r"remplac|saisi|navegador|página|servidor|error interno|vuelva|inténtelo|intente|recargue|acceso|desactivad|reemplace|sustituya|por favor|erro interno|tente |recarregue|acesso|desativad|substitua|seu navegador|браузер|страниц|сервер|внутренняя ошибка|повторите|попробуйте|обновите|войдите|доступ |"
+    r"скрипт|замените|введите|пожалуйста|浏览器|页面|服务器|内部错误|重试|再试|刷新|登录|访问|脚本|请|ブラウザ|ページ|サーバー|内部エラー|お試し|再読み込み|ログイン|アクセス|スクリプト|ください",
     re.I,
 )
+#: Words of papers that write about such things; with one of them a segment is no message.
+_PAPER = re.compile(r"\b(we|our|percent|per cent|dataset|baseline|annotators?|experiments?|trials?|samples?|studies|study|were|condition|wir|nous|nos|estudiamos|investigamos|мы)\b|本研究|本文|我们", re.I)
+# Names of methods and datasets, which no page of an archive's software would call by name.
+_NAMED = re.compile(r"\b(?!JavaScript|NullPointer|Content-)[A-Z][a-z]+(?:[A-Z][A-Za-z]*|-[A-Z0-9]\w*|\+(?!\w))")
 _QUOTED = re.compile(r"[\"“„][^\"“”„]{2,200}[\"”“]")
 _SPLIT = re.compile(r"(?<=[.!?。！？])\s+|(?<=[。！？])|\s*\n+\s*|\s+\|\s+")
-_TAGS = re.compile(r"</?(?:html|head|body|h\d|p|div|span|br|hr|title|b|i|em|strong|center|a|ul|li|pre|noscript|script|meta|style)\b[^<>]{0,80}>", re.I)
+_TAGS = re.compile(r"(?<!<)</?(?:html|head|body|h\d|p|div|span|br|hr|b|i|em|strong|center|a|ul|li|pre|noscript|script|meta|style)\b[^<>]{0,80}>(?!>)", re.I)
+_TITLE_TAG = re.compile(r"<title>([^<>]*)</title>", re.I)
 
 
 def masked(segment: str) -> str:
-    """A segment with numbers, addresses and dates masked, of one case and spacing, without punctuation at its ends."""
-    s = unicodedata.normalize("NFKC", segment).lower()
+    """A segment with numbers, addresses and dates masked, of one case and spacing, without a short lead-in and punctuation at its ends."""
+    s = re.sub(r"^[^:–—]{2,30}?(?::|\s[-–—])\s+(?=\w)", "", unicodedata.normalize("NFKC", segment).lower())
     s = re.sub(r"https?://\S+|www\.\S+|\S+@\S+\.\w+", "<address>", s)
     s = re.sub(r"\b\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}\b|\b\d{1,2}:\d{2}(?::\d{2})?\b", "<date>", s)
     s = re.sub(r"\b[0-9a-f]{8,}\b", "<number>", s)
@@ -214,7 +239,7 @@ def asks_for_field(inner: str, whole: str = "") -> bool:
     s = "".join(c for c in s if not unicodedata.combining(c) or c in "йё")
     s = re.sub(r"([a-z])([A-Z])|([A-Z])([A-Z][a-z])", lambda m: " ".join(g for g in m.groups() if g), s).lower()
     s = re.sub(r"[をのにはへ]", " ", s)
-    s = re.sub(r"^(?:paper|doc|record|item|data|entry|user)\.", "", s)
+    s = re.sub(r"\b(?:paper|doc|record|item|data|entry|user)\.", "", s)
     s = re.sub(r"[_\-./:…\"'’]+", " ", s)
     s = re.sub(r"\s+", " ", re.sub(r"\d+", " ", s)).strip()
     if not s:
@@ -266,6 +291,8 @@ def is_filler(segment: str) -> bool:
         return True
     if any(sum(odd[k : k + 8]) >= 5 for k in range(max(1, len(ws) - 7))):
         return True
+    if any(len(set(ws[k : k + 3])) == 1 and odd[k] for k in range(min(2, len(ws) - 2))):  # one word three times at the head
+        return True
     run = 0
     for w in ws:
         run = run + 1 if w[:4] in LATIN and len(w) > 3 else 0
@@ -284,7 +311,9 @@ def wrongly_filled(text: str) -> bool:
     if _LABELLED_FILL.search(text) or _NONE_FILL.search(text):
         return True
     for seg in _SPLIT.split(text):
-        found = _BAD_FILL.findall(_QUOTED.sub(" ", seg))
+        found = _BAD_FILL.findall(_QUOTED.sub(" ", seg)) or []
+        if "None" in found:
+            found = _BAD_FILL.findall(seg)
         if len(found) >= 2 and len(set(found)) == 1 and (found[0] != "None" or len(found) >= 3) and not _MENTION.search(seg):
             return True
     return False
@@ -295,7 +324,9 @@ def segments(text: str) -> list[str]:
     t = html.unescape(text) if "&" in text and "&lt;" not in text else text
     if not t.isascii():
         t = "".join(c for c in unicodedata.normalize("NFC", t) if c.isascii() or unicodedata.category(c) != "Cf")
-    t = (_TAGS.sub("\n", t) if "<" in t else t).replace("\r", "\n").replace("\xa0", " ").replace("　", " ")
+    if "<" in t:
+        t = _TAGS.sub("\n", _TITLE_TAG.sub(r"\n\1\n", t))
+    t = t.replace("\r", "\n").replace("\xa0", " ").replace("　", " ")
     return [s.strip() for s in _SPLIT.split(t) if s and s.strip()]
 
 
@@ -310,9 +341,10 @@ def examine(text: str | None) -> tuple[bool, list[int]]:
             return True, []
         bare = _QUOTED.sub(" ", s) if len(s) > 60 else s
         head = bare.lstrip(" \t-–—*•·>#\"'([{")
-        if len(head) < 400 and (has_cue(bare.lower()) or _CODE.search(bare)) and (_STRONG.search(head) or _STRONG.search(bare)):
+        told = cues(bare.lower()) if len(head) < 400 else 0
+        if len(head) < 400 and (told & 1 or _CODE.search(bare)) and (_STRONG.search(head) or _STRONG.search(bare)):
             return True, []
-        if len(s) < 120 and _WEAK.search(head):
+        if told & 2 and 8 < len(s) < 200 and _ADDRESS.search(bare) and not _PAPER.search(s) and not _NAMED.search(s) and not _MENTION.search(s):
             weak.append(xxhash.xxh3_64_intdigest(masked(s)) - (1 << 63))
     if wrongly_filled(text):
         return True, []
