@@ -45,7 +45,7 @@ def shortens(short: str, word: str) -> bool:
 
 def edits(n: int) -> int:
     """Edits that a word of n letters may have."""
-    return 0 if n < 4 else 1 if n < 6 else 2 if n < 10 else 3
+    return 0 if n < 4 else 1 if n < 5 else 2 if n < 10 else 3
 
 
 class VenueIndex:
