@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -84,6 +86,28 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(F.when((n > 0) & (F.size(a) == F.size(b)), dot(a, b) / n), F.lit(0.0))
 
 
+def cosine_to(vectors: Column, query: list[float]) -> Column:
+    """Cosine of each vector to one query, 0 on null, unequal or zero vectors.
+
+    For long vectors a batch product in Arrow batches takes a third of the time of the
+    element-wise expression, which cannot be compiled.
+    """
+    q = np.array(query, np.float64)
+    size = float(np.sqrt((q * q).sum()))
+
+    @F.pandas_udf("double")
+    def run(v: pd.Series) -> pd.Series:
+        out = np.zeros(len(v))
+        ok = np.array([x is not None and len(x) == len(q) for x in v], bool)
+        if ok.any():
+            x = np.stack(v[ok].to_numpy()).astype(np.float64)
+            n = np.sqrt((x * x).sum(axis=1)) * size
+            out[ok] = np.nan_to_num(np.where(n > 0, x @ q / np.where(n > 0, n, 1.0), 0.0))
+        return pd.Series(out)
+
+    return run(vectors)
+
+
 def month_bounds(as_of: Column, months_ago: int) -> tuple[Column, Column]:
     """First and last day of the month that lies ``months_ago`` before a date."""
     start = F.add_months(F.trunc(as_of, "MM"), -months_ago)

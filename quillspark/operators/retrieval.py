@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillspark.functions import fixed as V
-from quillspark.functions.scores import cosine
+from quillspark.functions.scores import cosine_to
 from quillspark.functions.text import sentences, snippet, tokens
 
 K1, B = 1.2, 0.75
@@ -64,8 +64,7 @@ def bm25(docs: DataFrame, terms: list[str]) -> DataFrame:
 
 def by_vector(docs: DataFrame, query: list[float]) -> DataFrame:
     """Exact cosine similarity of the usable vectors to a query vector; the validity filter comes before ranking."""
-    q = F.array(*[F.lit(float(x)) for x in query])
-    return docs.where(F.col("has_embedding") & (F.size("vector") == len(query))).select("paper_id", F.round(cosine(F.col("vector"), q), 6).alias("score"))
+    return docs.where(F.col("has_embedding") & (F.size("vector") == len(query))).select("paper_id", F.round(cosine_to(F.col("vector"), query), 6).alias("score"))
 
 
 def ranked(scored: DataFrame, depth: int) -> DataFrame:
@@ -114,11 +113,10 @@ def ladder(rows: DataFrame, quality: Column, dates: Column | None, entities: Col
 
 def rerank(rows: DataFrame, query: list[float], embed: Callable[[Column], Column] | None = None, keep: int = V.KEEP_VECTOR) -> DataFrame:
     """Best rows by similarity of their stored vector. Rows without a usable one are embedded live if an embedder is given, and are its only rows."""
-    q = F.array(*[F.lit(float(x)) for x in query])
     usable = F.coalesce(F.col("has_embedding") & (F.size("vector") == len(query)), F.lit(False))
-    stored = rows.where(usable).withColumn("similarity", F.round(cosine(F.col("vector"), q), 6)).withColumn("branch", F.lit(0))
+    stored = rows.where(usable).withColumn("similarity", F.round(cosine_to(F.col("vector"), query), 6)).withColumn("branch", F.lit(0))
     rest = rows.where(~usable)
-    rest = rest.withColumn("similarity", F.round(cosine(embed(F.concat_ws("\n\n", "title", "abstract")), q), 6) if embed else F.lit(0.0)).withColumn("branch", F.lit(1))
+    rest = rest.withColumn("similarity", F.round(cosine_to(embed(F.concat_ws("\n\n", "title", "abstract")), query), 6) if embed else F.lit(0.0)).withColumn("branch", F.lit(1))
     return stored.unionByName(rest).orderBy(F.desc("similarity"), "branch", "paper_id").limit(keep)
 
 

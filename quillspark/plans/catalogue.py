@@ -69,7 +69,7 @@ def similar(spark: SparkSession, folder: str) -> DataFrame:
     q = probe(papers)
     usable = F.col("has_embedding") & (F.size("vector") == len(q))
     rows = C.corpus(papers)
-    return rows.withColumn("similarity", F.when(usable, F.round(S.cosine(F.col("vector"), F.array(*[F.lit(x) for x in q])), 6))).drop("vector")
+    return rows.withColumn("similarity", F.when(usable, F.round(S.cosine_to(F.col("vector"), q), 6))).drop("vector")
 
 
 # --- scans and filters
