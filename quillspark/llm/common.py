@@ -52,7 +52,7 @@ def damerau(a: str, b: str, limit: int) -> int:
     if a == b:
         return 0
     la, lb = len(a), len(b)
-    if abs(la - lb) > limit:
+    if abs(la - lb) > limit or len(set(a) ^ set(b)) > 2 * limit:  # an edit changes two letters of the sets at most
         return limit + 1
     prev2, prev = None, list(range(lb + 1))
     for i in range(1, la + 1):
