@@ -167,6 +167,17 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("[a-z0-9]+"), 0)
 
 
+def window_label(low: Column, high: Column) -> Column:
+    """Label of year bounds; null and 0 count as absent."""
+    a, b = F.nullif(low, F.lit(0)).cast("string"), F.nullif(high, F.lit(0)).cast("string")
+    return F.when(a.isNotNull() & b.isNotNull(), F.concat(a, F.lit("–"), b)).when(a.isNotNull(), F.concat(F.lit("from "), a)).when(b.isNotNull(), F.concat(F.lit("up to "), b))
+
+
+def stage_index(message: Column) -> Column:
+    """Stage of a progress message by the first marker it holds, else 1."""
+    return F.coalesce(*[F.when(message.contains(m), F.lit(n)) for m, n in V.STAGE_MARKERS], F.lit(1))
+
+
 def cache_key(c: Column) -> Column:
     return F.md5(F.lower(F.trim(c)))
 

@@ -605,6 +605,65 @@ def nested_json_parse(spark, folder):
     return parsed.select("arxiv_id", "title", F.array_join("authors", "; ").alias("authors"), "submitted_date", "venue", "citation_count", "arxiv_url")
 
 
+@query(
+    """SELECT 's2:' || s2_id AS arxiv_id, trim(replace(coalesce(title, ''), chr(10), ' ')) AS title, CAST(to_json(coalesce(authors, [])) AS VARCHAR) AS authors, coalesce(try_cast(substr(coalesce(publication_date, CAST(year AS VARCHAR) || '-01-01'), 1, 4) AS INTEGER), 0) AS year,
+coalesce(CASE WHEN lower(venue) IN ('arxiv', 'arxiv.org') THEN NULL ELSE venue END, '') AS venue, 'Semantic Scholar' AS source, coalesce(citation_count, 0) AS citation_count, false AS has_embedding FROM s2_records WHERE coalesce(s2_id, '') <> ''"""
+)
+def record_to_row(spark, folder):
+    rows = table(spark, folder, "s2_records")
+    names = F.transform("authors", lambda a: F.struct(F.lit(None).cast("string").alias("authorId"), a.alias("name")))
+    raw = rows.select(F.to_json(F.struct(F.col("s2_id").alias("paperId"), "title", names.alias("authors"), "year", F.col("publication_date").alias("publicationDate"), "venue", F.col("citation_count").alias("citationCount"))).alias("raw"))
+    return records.table_row(records.parse_raw(raw, "raw")).select("arxiv_id", "title", "authors", "year", "venue", "source", "citation_count", "has_embedding")
+
+
+_ATOM_CASE = " ".join(f"WHEN contains(lower('Accepted at ' || coalesce(venue, '')), '{k.lower()}') THEN '{k}'" for k in sorted(V.CONFERENCES + V.JOURNALS))
+
+
+@query(
+    f"""SELECT arxiv_id, trim(replace(coalesce(title, ''), chr(10), ' ')) AS title, coalesce(substr(submitted_date, 1, 10), '{AS_OF}') AS submitted_date,
+coalesce(CASE WHEN contains(lower(coalesce(venue, '')), 'under review') OR contains(lower(coalesce(venue, '')), 'preprint') OR contains(lower(coalesce(venue, '')), 'submitted to') THEN NULL {_ATOM_CASE} END, '-') AS venue,
+array_to_string(list_concat(['Computer Science'], from_json(fields_of_study, '["VARCHAR"]')), ';') AS fields FROM papers WHERE length(arxiv_id) <= 30"""
+)
+def atom_entries(spark, folder):
+    rows = table(spark, folder, "papers").where("arxiv_id is not null")
+    entries = rows.select(F.concat(F.lit("http://arxiv.org/abs/"), "arxiv_id", F.lit("v2")).alias("id"), "title", F.col("abstract").alias("summary"), F.col("submitted_date").alias("published"), F.from_json("authors", "array<string>").alias("authors"), F.from_json("fields_of_study", "array<string>").alias("categories"), F.concat(F.lit("Accepted at "), F.coalesce("venue", F.lit(""))).alias("comment"), F.lit(None).cast("string").alias("journal_ref"))
+    return records.parse_atom(entries, AS_OF).select("arxiv_id", "title", "submitted_date", F.coalesce("venue", F.lit("-")).alias("venue"), F.array_join("fields_of_study", ";").alias("fields"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 AND p_partkey % 3 = 0 THEN 'The user did not provide any research brief.' WHEN p_partkey % 4 = 0 THEN 'WHAT I AM NOT LOOKING FOR:' || chr(10) || p_brand WHEN p_partkey % 3 = 0 THEN 'RESEARCH BRIEF:' || chr(10) || p_name ELSE 'RESEARCH BRIEF:' || chr(10) || p_name || chr(10) || chr(10) || 'WHAT I AM NOT LOOKING FOR:' || chr(10) || p_brand END AS brief FROM part")
+def brief_assembly(spark, folder):
+    rows = table(spark, folder, "part")
+    wanted = F.when(F.col("p_partkey") % 4 == 0, " ").otherwise(F.concat(F.lit("  "), "p_name"))
+    unwanted = F.when(F.col("p_partkey") % 3 == 0, "").otherwise(F.concat("p_brand", F.lit(" ")))
+    return rows.select("p_partkey", X.brief(wanted, unwanted).alias("brief"))
+
+
+@query("SELECT p_partkey, coalesce(CASE WHEN p_size % 3 > 0 AND p_size % 2 > 0 THEN (2000 + p_size % 3) || '–' || (2010 + p_size % 2) WHEN p_size % 3 > 0 THEN 'from ' || (2000 + p_size % 3) WHEN p_size % 2 > 0 THEN 'up to ' || (2010 + p_size % 2) END, '-') AS label FROM part")
+def date_window_label(spark, folder):
+    low = F.when(F.col("p_size") % 3 > 0, 2000 + F.col("p_size") % 3).otherwise(0)
+    high = F.when(F.col("p_size") % 2 > 0, 2010 + F.col("p_size") % 2)
+    return table(spark, folder, "part").select("p_partkey", F.coalesce(X.window_label(low, high), F.lit("-")).alias("label"))
+
+
+@query("SELECT arxiv_id, false AS has_embedding FROM papers WHERE arxiv_id IS NOT NULL")
+def embedding_reset(spark, folder):
+    return M.reset_embeddings(table(spark, folder, "papers").where("arxiv_id is not null")).select("arxiv_id", "has_embedding")
+
+
+@query("SELECT event_type, count(*) AS n, min(stage) AS stage FROM (SELECT event_type, CASE WHEN event_type = 'click' THEN 2 WHEN event_type = 'error' THEN 3 ELSE 1 END AS stage FROM events) GROUP BY event_type")
+def stage_markers(spark, folder):
+    message = F.when(F.col("event_type") == "click", "RRF done, Stage 2 begins").when(F.col("event_type") == "error", "Cross-Encoder failed").otherwise(F.col("event_type"))
+    return table(spark, folder, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.min(X.stage_index(message)).alias("stage"))
+
+
+@query(f"WITH {CORPUS}, t AS (SELECT paper_id, citation_count, CASE WHEN year % 2 = 0 THEN 'TRAIN_' ELSE 'TEST_' END || year AS dataset FROM corpus) SELECT dataset, starts_with(dataset, 'TRAIN_') AS training, count(*) AS n, round(sum(ln(1 + greatest(citation_count, 0))), 4)::DOUBLE AS target FROM t GROUP BY dataset")
+def train_test_split(spark, folder):
+    rows = training.features(papers_of(spark, folder)).withColumn("dataset", F.concat(F.when(F.col("year") % 2 == 0, "TRAIN_").otherwise("TEST_"), F.col("year").cast("string")))
+    fit, test = training.split(rows)
+    both = fit.withColumn("training", F.lit(True)).unionByName(test.withColumn("training", F.lit(False)))
+    return both.groupBy("dataset", "training").agg(F.count("*").alias("n"), F.round(F.sum("target"), 4).alias("target"))
+
+
 @query("SELECT arxiv_id, min(record_id) AS record_id FROM ingest_records WHERE arxiv_id IS NOT NULL GROUP BY arxiv_id")
 def dedupe_keep_first(spark, folder):
     return records.keep_first(table(spark, folder, "ingest_records").where("arxiv_id is not null"), "arxiv_id", ["record_id"]).select("arxiv_id", "record_id")
