@@ -13,10 +13,12 @@ _OWN_DIR: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder shared by all executors: ``spark.checkpoint.dir``, or a temporary one where that is unset (tests)."""
+    """Folder shared by all executors: ``spark.checkpoint.dir``; where that is unset, a temporary one in local mode, else an error."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIR:
         _OWN_DIR[app] = "file://" + tempfile.mkdtemp(prefix="quillspark-")
