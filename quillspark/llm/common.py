@@ -39,6 +39,17 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores, F.xxhash64(key)) if df.rdd.getNumPartitions() < cores else df
 
 
+def sampled(df: DataFrame, size: int, *key: str) -> DataFrame:
+    """About ``size`` rows, at most, chosen by a hash of the key: the same for the same rows, whatever their partitions.
+
+    The hash thins the rows out where they lie; only what is left is ordered, so no task gathers more than the sample.
+    """
+    n = df.count()
+    if n > size:
+        df = df.where(F.pmod(F.xxhash64(*key), F.lit(1 << 30)) < int((1 << 30) * min(1.0, 1.02 * size / n)))
+    return df.orderBy(F.xxhash64(*key), *key).limit(size)
+
+
 def fold(s: str) -> str:
     """Lower-cased text without combining marks; stroke letters lose their stroke."""
     s = unicodedata.normalize("NFKD", s)
