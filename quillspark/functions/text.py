@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import fixed as V
 
+# Patterns of exclusions, names and years that results must agree with.
 _INLINE_NOT = r"(?i)\b(?:exclude|excluding|omit|omitting|not including|not interested in|no papers (?:on|about)|nothing (?:on|about))\b[:\s]*([^.\n;]+)"
 _YEAR = r"(?:19|20)\d{2}"
+_BY = r"\b(?:authored\s+by|written\s+by|by)\s+((?:[A-Z][A-Za-z.'\-]+)(?:\s+(?:and\s+|&\s+|,\s*)?[A-Z][A-Za-z.'\-]+)*)"
 
 
 def any_of(conditions: list[Column]) -> Column:
@@ -114,7 +116,7 @@ def split_terms(c: Column) -> Column:
 
 def authors_of(c: Column) -> Column:
     """Up to five names stated with "by"."""
-    found = F.regexp_extract_all(c, F.lit(r"\b(?:authored\s+by|written\s+by|by)\s+((?:[A-Z][A-Za-z.'\-]+)(?:\s+(?:and\s+|&\s+|,\s*)?[A-Z][A-Za-z.'\-]+)*)"), 1)
+    found = F.regexp_extract_all(c, F.lit(_BY), 1)
     names = F.transform(F.flatten(F.transform(found, lambda m: F.split(m, r"(?i)\s+and\s+|\s*&\s*|,\s*"))), F.trim)
     kept = F.filter(names, lambda n: (F.length(n) >= 2) & ~F.lower(F.split(n, " ")[0]).isin(V.NOT_NAMES))
     return F.slice(F.array_distinct(kept), 1, 5)

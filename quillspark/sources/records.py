@@ -8,7 +8,6 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.window import Window
 
 from quillspark.functions.text import one_line, venue_of
 from quillspark.schema import RAW_RECORD
