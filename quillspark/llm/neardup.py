@@ -211,7 +211,6 @@ def joined(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             waiting = 0
 
     for s, e in zip(starts, ends):
-        m = e - s
         for i in range(s, e - 1):  # one member against the rest of its group
             rest = np.arange(i + 1, e)
             if not same[i]:
@@ -222,7 +221,6 @@ def joined(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             waiting += len(rest)
             if waiting > 64 * BLOCK:
                 flush()
-        del m
     flush()
     a, b = (np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64) for k in (0, 1))
     pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
