@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillspark.llm.common import damerau, fold, stage
-from quillspark.llm.venues import NOTES, WRAPPERS, mapper, shortens, words
+from quillspark.llm.venues import FILLERS, NOTES, WRAPPERS, mapper, shortens, words
 
 # What stands in a venue field without naming a place of publication.
 REMARKS = frozenset(
@@ -112,10 +112,16 @@ def profile(values: list[tuple[str, float]]) -> Profile:
     """Progressive alignment: the longest and heaviest value opens the profile, the others join by falling weight."""
     out: Profile = []
     for value, weight in sorted(values, key=lambda v: (-len(v[0].split()) * v[1], v[0])):
-        out = merge(out, [{t: weight} for t in value.split()])
+        out = merge(out, [{t: weight} for t in tokens(value)])
     return out
 
 
+def tokens(value: str) -> list[str]:
+    """Tokens of a value; one without spaces is parted at underscores and hyphens."""
+    ts = value.split()
+    return ts if len(ts) > 1 else [t for t in re.split(r"[\s_-]+", value) if t] or ts
+
+
 def consensus(columns: Profile) -> list[str]:
     """The winning token of each column. Votes of an abbreviation or a misspelling go to the better written token it resembles."""
     out = []
@@ -266,6 +272,23 @@ def venues(base: DataFrame, venue_list: DataFrame) -> DataFrame:
     return alone.unionByName(found).unionByName(big).select("arxiv_id", F.lit("venue").alias("field"), "record_id")
 
 
+def whole(few: list[dict]) -> list[dict]:
+    """The values without those cut off inside a name that another value of the group tells in full; their weight goes to it."""
+    out, cut = [dict(x) for x in few], []
+    for x in out:
+        v = fold(x["venue"])
+        head = v.strip()
+        open_end = v != v.rstrip() or head.split()[-1:] and head.split()[-1] in FILLERS
+        for y in out:
+            u = fold(y["venue"]).strip()
+            if len(u) > len(head) and u.startswith(head) and (open_end or (head[-1].isalnum() and u[len(head)].isalnum())):
+                y["weight"] += x["weight"]
+                cut.append(x["venue"])
+                break
+    kept = [x for x in out if x["venue"] not in cut]
+    return kept or out
+
+
 def nearest(canonical: dict[int, str | None]):
     """Arrow function: from (arxiv_id, place, few) to the record of the existing value closest to the consensus."""
 
@@ -273,6 +296,7 @@ def nearest(canonical: dict[int, str | None]):
         for b in batches:
             ids, recs = b.column(0).to_pylist(), []
             for place, few in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                few = whole(few)
                 values = [(x["venue"], x["weight"]) for x in few]
                 agreed = consensus(profile(voters(values, canonical.get(place))))
                 recs.append(min((distance(x["venue"], agreed), -x["weight"], x["first"]) for x in few)[2])

@@ -71,3 +71,11 @@ def test_alignment():
     cols = S.profile([("Annals of Thermal Genomics", 1.0), ("Anls. Therm. Genomics 2019", 2.0), ("The Annals of Thermal Genomics", 0.5)])
     assert " ".join(S.consensus(cols)) in ("Annals of Thermal Genomics", "Annals Thermal Genomics")
     assert S.distance("a b", ["a", "b"]) == 0 < S.distance("a  b", ["a", "b"]) < S.distance("a c", ["a", "b"])
+
+
+def test_cut_names_vote_for_the_whole():
+    few = [{"venue": "Velvet Mechan", "weight": 9.0, "first": 1}, {"venue": "Velvet Mechanics Roundtable", "weight": 1.0, "first": 2}, {"venue": "Velvet Mechanics Roundtable 2013", "weight": 1.0, "first": 3}]
+    kept = S.whole(few)
+    assert [x["first"] for x in kept] == [2, 3] and sum(x["weight"] for x in kept) == 11.0
+    assert S.whole([{"venue": "Summer School on ", "weight": 1.0, "first": 1}, {"venue": "summer school on Rustic Ontology", "weight": 1.0, "first": 2}])[0]["first"] == 2
+    assert len(S.whole(few[1:])) == 2 and len(S.whole(few[:1])) == 1
