@@ -6,6 +6,7 @@ import re
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -45,7 +46,7 @@ NICKNAMES = {
 }
 #: A given name is a misspelling of another if it goes with at most this part of the other's surnames.
 RARE = 0.25
-#: Spellings of one block; a larger block is cut by the given name as well.
+#: Spellings of a block up to which all are compared outright; a larger block is searched through an index, to the same result.
 BLOCK_NAMES = 2000
 _VOWELS = frozenset("aeiouy")
 
@@ -210,6 +211,18 @@ def same_given(a: str, b: str, ca: int, cb: int) -> bool:
     return damerau(x, y, bound) <= bound
 
 
+@lru_cache(200_000)
+def token_cost(x: str, y: str) -> float | None:
+    """Cost of pairing two words of organisations, None if they are no partners."""
+    if x == y:
+        return 0.0
+    if shortens(x, y) or shortens(y, x):
+        return 0.3
+    bound = 1 if min(len(x), len(y)) < 7 else 2
+    d = damerau(x, y, bound)
+    return 0.5 * d if d <= bound and min(len(x), len(y)) > 3 else None
+
+
 def assigned(a: tuple[str, ...], b: tuple[str, ...]) -> float | None:
     """Least cost of an optimal one-to-one assignment of two token lists, None if a token finds no partner.
 
@@ -221,21 +234,12 @@ def assigned(a: tuple[str, ...], b: tuple[str, ...]) -> float | None:
     if len(a) != len(b) or len(a) > 10:
         return None
 
-    def cost(x: str, y: str) -> float | None:
-        if x == y:
-            return 0.0
-        if shortens(x, y) or shortens(y, x):
-            return 0.3
-        bound = 1 if min(len(x), len(y)) < 7 else 2
-        d = damerau(x, y, bound)
-        return 0.5 * d if d <= bound and min(len(x), len(y)) > 3 else None
-
     best: dict[int, float] = {0: 0.0}
     for x in a:
         step: dict[int, float] = {}
         for used, c in best.items():
             for j, y in enumerate(b):
-                if not used >> j & 1 and (k := cost(x, y)) is not None and c + k < step.get(used | 1 << j, 1e9):
+                if not used >> j & 1 and (k := token_cost(x, y)) is not None and c + k < step.get(used | 1 << j, 1e9):
                     step[used | 1 << j] = c + k
         best = step
     return min(best.values(), default=None)
@@ -252,22 +256,93 @@ def spelled_out(a: tuple[str, ...], b: tuple[str, ...]) -> tuple[str, ...]:
     return a
 
 
+class OrganisationIndex:
+    """Members of a block's groups by their words, so that a name meets only those it could be assigned to."""
+
+    def __init__(self, names: list[tuple[str, ...]]) -> None:
+        self.partners: dict[str, set[str]] = defaultdict(set)
+        near: dict[str, list[str]] = defaultdict(list)
+        for t in {t for ts in names for t in ts}:
+            # abbreviations share the first letter, misspellings a string left by as many deletions
+            keys = {"^" + t[0]} | (deletes(t, 1 if len(t) < 7 else 2) if len(t) > 3 else set())
+            for u in {u for k in keys for u in near[k]} | {t}:
+                if token_cost(t, u) is not None:
+                    self.partners[t].add(u)
+                    self.partners[u].add(t)
+            for k in keys:
+                near[k].append(t)
+        self.word: dict[tuple[int, str], set[int]] = defaultdict(set)
+        self.any_word: dict[str, set[int]] = defaultdict(set)
+        self.run: dict[str, set[int]] = defaultdict(set)
+
+    @staticmethod
+    def runs(ts: tuple[str, ...]) -> set[str]:
+        """What ``spelled_out`` may take for two to five consecutive words: their initials, or all of them joined."""
+        cuts = [ts[j:k] for j in range(len(ts)) for k in range(j + 2, min(len(ts), j + 5) + 1)]
+        return {"".join(c) for c in cuts} | {"".join(w[0] for w in c) for c in cuts}
+
+    def add(self, ts: tuple[str, ...], group: int) -> None:
+        for t in ts:
+            self.word[len(ts), t].add(group)
+            self.any_word[t].add(group)
+        for r in self.runs(ts):
+            self.run[r].add(group)
+
+    def groups(self, ts: tuple[str, ...]) -> list[int]:
+        """Groups with a member of as many words, each with a partner, or one that is spelled out by the name or spells it out."""
+        fits: set[int] | None = None
+        for t in ts:
+            mine = {g for u in self.partners[t] for g in self.word.get((len(ts), u), ())}
+            fits = mine if fits is None else fits & mine
+            if not fits:
+                break
+        found = set(fits or ()).union(*[self.run.get(t, ()) for t in ts], *[self.any_word.get(r, ()) for r in self.runs(ts)])
+        return sorted(found)
+
+
+class PersonIndex:
+    """Clusters of a block by the slips and familiar forms of their names, so that a cluster meets only those it could be one person with."""
+
+    def __init__(self) -> None:
+        self.at: dict[tuple[str, ...], set[int]] = defaultdict(set)
+
+    @staticmethod
+    def keys(m: tuple) -> list[tuple[str, ...]]:
+        g = m[4].replace("-", "")
+        forms = {"=" + n for n in (g, *NICKNAMES.get(g, ()))} | deletes(g, 1 if len(g) < 6 else 2)
+        return [("g", m[3], m[2], v) for v in forms] + ([("s", m[3], g, v) for v in deletes(m[2], 1)] if len(m[2]) > 4 else [])
+
+    def add(self, members: list[tuple], cluster: int) -> None:
+        for m in {(m[2], m[3], m[4]): m for m in members if m[4]}.values():
+            for k in self.keys(m):
+                self.at[k].add(cluster)
+
+    def clusters(self, m: tuple) -> list[int]:
+        return sorted(set().union(*[self.at.get(k, ()) for k in self.keys(m)]))
+
+
 def link_block(rows: list[tuple]) -> list[set[str]]:
     """Clusters of the spellings of one block.
 
-    A row is (name, kind, surname, particle, given, initials, middle, tokens, companions, uses).
+    A row is (name, kind, surname, particle, given, initials, middle, tokens, companions, uses). In a block of
+    more than ``BLOCK_NAMES`` rows an index leaves out comparisons that could find nothing.
     """
     out = []
+    indexed = len(rows) > BLOCK_NAMES
     orgs = sorted((r for r in rows if r[1] == "o"), key=lambda r: (-r[9], r[0]))
     groups: list[list[tuple]] = []
+    words = OrganisationIndex([tuple(r[7]) for r in orgs]) if indexed else None
     for r in orgs:
-        for g in groups:
-            c = [assigned(tuple(r[7]), tuple(m[7])) for m in g[:3]]
+        for i in words.groups(tuple(r[7])) if words else range(len(groups)):
+            c = [assigned(tuple(r[7]), tuple(m[7])) for m in groups[i][:3]]
             if any(x is not None and x <= 1.5 for x in c):
-                g.append(r)
                 break
         else:
-            groups.append([r])
+            i = len(groups)
+            groups.append([])
+        groups[i].append(r)
+        if words and len(groups[i]) <= 3:
+            words.add(tuple(r[7]), i)
     out += [{m[0] for m in g} for g in groups]
 
     people = [r for r in rows if r[1] == "p"]
@@ -283,37 +358,55 @@ def link_block(rows: list[tuple]) -> list[set[str]]:
         else:  # several people of one name: told apart by the middle initial
             clusters += [[m for m in members if m[6][:1] == x] for x in sorted(middles | {""}) if any(m[6][:1] == x for m in members)]
     clusters.sort(key=lambda c: (-sum(m[9] for m in c), c[0][0]))
-    kept: list[list[tuple]] = []
-    for c in clusters:
-        fits = [k for k in kept if one_person(c, k)]
+    kept: dict[int, list[tuple]] = {}
+    slips = PersonIndex() if indexed else None
+    for n, c in enumerate(clusters):
+        fits = [i for i in (slips.clusters(c[0]) if slips else kept) if i in kept and one_person(c, kept[i])]
         if len(fits) > 1:
-            near = [k for k in fits if k[0][2] == c[0][2]]
+            near = [i for i in fits if kept[i][0][2] == c[0][2]]
             fits = near if len(near) == 1 else fits
-        if len(fits) > 1 and all(k[0][2] == c[0][2] and max(m[8] for m in k if m[4]) <= RARE * c[0][8] for k in fits):  # misspellings of this one name
-            for k in fits[1:]:
-                fits[0].extend(k)
-                kept.remove(k)
+        if len(fits) > 1 and all(kept[i][0][2] == c[0][2] and max(m[8] for m in kept[i] if m[4]) <= RARE * c[0][8] for i in fits):  # misspellings of this one name
+            for i in fits[1:]:
+                moved = kept.pop(i)
+                kept[fits[0]].extend(moved)
+                if slips:
+                    slips.add(moved, fits[0])
             fits = fits[:1]
-        if len(fits) == 1:
-            fits[0].extend(c)
-        else:
-            kept.append(list(c))
+        to = fits[0] if len(fits) == 1 else n
+        kept.setdefault(to, []).extend(c)
+        if slips:
+            slips.add(c, to)
+    # clusters by surname, particle and the initials they may be written with; "*" stands for a middle initial they lack
+    told: dict[tuple[str, str, str], set[int]] = defaultdict(set)
+    exact: dict[tuple[str, str], set[int]] = defaultdict(set)
+    surnames: set[tuple[str, str]] = set()
+    for i, k in kept.items():
+        for m in k:
+            if m[4]:
+                surnames.add((m[2], m[3]))
+                for h in initial_strings(m[4], m[6][:1]):
+                    told[m[2], m[3], h].add(i)
+                    exact[m[2], h].add(i)
+                    if not m[6]:
+                        told[m[2], m[3], h + "*"].add(i)
     short: dict[tuple[str, str, str], list[tuple]] = defaultdict(list)
     for r in people:
         if not r[4] and r[5]:
             short[r[2], r[3], r[5]].append(r)
+    alone = []
     for (sur, particle, ini), members in short.items():
-        same = [k for k in kept if any(m[2] == sur and m[3] == particle and fits_initials(ini, m) for m in k)]
-        if len(same) > 1:
-            exact = [k for k in same if any(m[2] == sur and len(ini) > 1 and m[4] and ini in initial_strings(m[4], m[6][:1]) for m in k)]
-            same = exact if len(exact) == 1 else same
+        same = told.get((sur, particle, ini), set()) | told.get((sur, particle, ini[:-1] + "*"), set())
+        if len(same) > 1 and len(ini) > 1:
+            precise = same & exact.get((sur, ini), set())
+            same = precise if len(precise) == 1 else same
         if not same:
-            same = [k for k in kept if any(m[3] == particle and damerau(m[2], sur, 1) <= 1 and fits_initials(ini, m) for m in k)]
+            near = [s for s, p in surnames if p == particle and damerau(s, sur, 1) <= 1]
+            same = set().union(*[told.get((s, particle, h), ()) for s in near for h in (ini, ini[:-1] + "*")])
         if len(same) == 1:
-            same[0].extend(members)
+            kept[min(same)].extend(members)
         elif not same:
-            kept.append(members)
-    out += [{m[0] for m in k} for k in kept]
+            alone.append(members)
+    out += [{m[0] for m in k} for k in (*kept.values(), *alone)]
     return [c for c in out if len(c) > 1]
 
 
@@ -371,8 +464,8 @@ def name_pairs(papers: DataFrame, column: str = "authors") -> DataFrame:
 
     Spellings meet in blocks of (a string left of the surname by at most one deletion, a letter the
     given name may begin with); of organisations, one of their three rarest words takes the surname's
-    place. A block larger than ``BLOCK_NAMES`` is cut by strings left of the given name, which
-    separates only spellings that could not be told apart by initials.
+    place. A block is linked as a whole whatever its size, as initials link only where no second
+    person fits; a task holds the spellings of one block at a time.
     """
     parsed = stage(read_names(spellings(papers, column)))
     people = parsed.where("kind = 'p'")
@@ -390,37 +483,30 @@ def name_pairs(papers: DataFrame, column: str = "authors") -> DataFrame:
     orgs = orgs.join(rare, "name").select("name", "uses", "kind", F.lit("").alias("surname"), "particle", "given", "initials", "middle", "tokens", F.lit(0).cast("long").alias("companions"), F.transform("rare", lambda r: r["t"]).alias("rare"))
     rows = told.withColumn("rare", F.array().cast("array<string>")).unionByName(orgs)
     cols = ["name", "kind", "surname", "particle", "given", "initials", "middle", "tokens", "companions", "uses"]
-    schema = "key long, fine array<long>, name string, kind string, surname string, particle string, given string, initials string, middle string, tokens array<string>, companions long, uses long"
+    schema = "key long, name string, kind string, surname string, particle string, given string, initials string, middle string, tokens array<string>, companions long, uses long"
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
         for b in batches:
             d = b.to_pydict()
-            take, keys, fine = [], [], []
+            take, keys = [], []
             for i, kind in enumerate(d["kind"]):
                 if kind == "o":
                     mine = {v for w in d["rare"][i] for v in deletes(w, 1)}
-                    small: list[int] = []
                 else:
                     given, ini = d["given"][i], d["initials"][i]
                     letters = start_letters(given) if given else [ini[0]] if ini else [""]
                     mine = {v + " " + c for v in deletes(d["surname"][i], 1) if len(v) > 1 for c in letters}
-                    g = given.replace("-", "")
-                    small = [digest(v) - (1 << 63) for n in [g, *NICKNAMES.get(g, ())] for v in deletes(n, 1)] if g else []
                 for v in mine:
                     take.append(i)
                     keys.append(digest(kind + v) - (1 << 63))
-                    fine.append(small)
             pick = pa.array(take, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(fine, pa.list_(pa.int64())), *[b.column(c).take(pick) for c in cols]], ["key", "fine", *cols])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *[b.column(c).take(pick) for c in cols]], ["key", *cols])
 
     keys = rows.select(*cols, "rare").mapInArrow(keyed, schema)
-    light = keys.select("key", "name", "fine")
+    light = keys.select("key", "name")
     size = light.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    member = light.join(size, "key")
-    small = member.where(F.col("n") <= BLOCK_NAMES).select("key", "name")
-    large = member.where(F.col("n") > BLOCK_NAMES).select(F.explode("fine").alias("f"), "key", "name").select(F.xxhash64("key", "f").alias("key"), "name")
-    placed = small.unionByName(large).join(rows.select(*cols), "name")
+    placed = light.join(size.select("key"), "key").join(rows.select(*cols), "name")
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Blocks of a partition sorted by key; a block may span batches."""

@@ -2,6 +2,7 @@ import json
 
 import pytest
 
+from quillspark.llm import names as N
 from quillspark.llm.names import assigned, name_pairs, parse
 
 
@@ -56,3 +57,18 @@ def test_links(spark):
 
 def test_empty(spark):
     assert pairs(spark, []) == set()
+
+
+def test_large_blocks_link_as_small_ones(spark, monkeypatch):
+    """Initials, organisations and given names two slips apart in a block beyond the limit."""
+    crowd = [[f"{g} {s}"] for g in ("Matthew", "Aleksandr") for s in ("Kolbeck", "Ristano", "Feldin", "Ormask", "Tuvall", "Sindre", "Halpert", "Quade", "Merrow")]
+    people = ["Matthew Q. Grenlow", "M. Q. Grenlow", "MQ Grenlow", "Marta Grenlow", "Matt Grenlow", "Aleksandr Grenlow", "Aleksadnrr Grenlow", "Mathew Grenlow", "M. Grenlov", "Matthew Grennlow"]
+    orgs = ["Kamupilt Deep Field Collaboration", "Kamupilt Deeep Field Coll.", "Collaboration for Kamupilt Deep Field", "Kamupilt DF Collaboration", "Kamupilt Ocean Model Collaboration"]
+    whole = pairs(spark, [*crowd, people, orgs])
+    for a, b in (("M. Q. Grenlow", "Matthew Q. Grenlow"), ("Aleksadnrr Grenlow", "Aleksandr Grenlow"), ("Kamupilt Deep Field Collaboration", "Kamupilt Deeep Field Coll."), ("Kamupilt DF Collaboration", "Kamupilt Deep Field Collaboration")):
+        assert tuple(sorted((a, b))) in whole
+    rows = [(n, p.kind, p.surname, p.particle, p.given, p.initials, p.middle, p.tokens, 9 if p.given in ("matthew", "aleksandr") else 1, 1) for n in [*people, *orgs] for p in [parse(n)]]
+    linked = {frozenset(c) for c in N.link_block(rows)}
+    monkeypatch.setattr(N, "BLOCK_NAMES", 0)
+    assert {frozenset(c) for c in N.link_block(rows)} == linked
+    assert pairs(spark, [*crowd, people, orgs]) == whole
