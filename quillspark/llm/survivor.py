@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Iterator
+from array import array
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,7 +30,7 @@ REMARKS = frozenset(
 SOURCE_ALIASES = {"s2": "semanticscholar", "arxivorg": "arxiv"}
 #: Counts from here on are overflow or filler values, not counts.
 IMPOSSIBLE = 5_000_000
-#: A group's distinct values of a field are aligned by one task up to this many, and in salted parts beyond.
+#: A group's distinct values of a field are collected into one row up to this many, and streamed in sorted order beyond.
 GROUP_VALUES = 256
 
 Profile = list[dict[str, float]]
@@ -36,6 +42,7 @@ def names_place(value: str) -> bool:
     return bool(ws) and " ".join(ws) not in REMARKS and not (ws[0] in ("submitted", "arxiv") and len(ws) < 4)
 
 
+@lru_cache(200_000)
 def likeness(a: str, b: str) -> float:
     """Similarity of two tokens in 0..1: equal letters, abbreviation, or few edits."""
     if a == b:
@@ -52,42 +59,46 @@ def likeness(a: str, b: str) -> float:
     return 0.0 if d > 3 or d > longest // 2 else 0.9 - d / longest
 
 
-def merge(a: Profile, b: Profile) -> Profile:
-    """Align two profiles column by column (global alignment on the likeness of their heaviest tokens) and add their votes."""
-    if not a or not b:
-        return a or b
-    wa, wb = sum(a[0].values()), sum(b[0].values())
-    ha, hb = [lead(c) for c in a], [lead(c) for c in b]
-    n, m = len(a), len(b)
-    score = [[0.0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        row, below = score[i], score[i + 1]
-        for j in range(m - 1, -1, -1):
-            s = likeness(ha[i], hb[j]) if ha[i] and hb[j] else 0.0
-            row[j] = max(below[j], row[j + 1], below[j + 1] + s - 0.05 if s > 0.3 else 0.0)
-    out, i, j = [], 0, 0
-    while i < n and j < m:
-        s = likeness(ha[i], hb[j]) if ha[i] and hb[j] else 0.0
-        if s > 0.3 and score[i][j] == score[i + 1][j + 1] + s - 0.05:
-            col = dict(a[i])
-            for t, w in b[j].items():
-                col[t] = col.get(t, 0.0) + w
-            out.append(col)
-            i, j = i + 1, j + 1
-        elif score[i][j] == score[i + 1][j]:
-            out.append(a[i] | {"": a[i].get("", 0.0) + wb})
-            i += 1
-        else:
-            out.append(b[j] | {"": b[j].get("", 0.0) + wa})
-            j += 1
-    out += [c | {"": c.get("", 0.0) + wb} for c in a[i:]]
-    out += [c | {"": c.get("", 0.0) + wa} for c in b[j:]]
-    return out
-
-
-def lead(column: dict[str, float]) -> str:
-    """The heaviest token of a column, gaps aside."""
-    return max(((w, t) for t, w in column.items() if t), default=(0.0, ""))[1]
+class Alignment:
+    """Columns of weighted tokens to which values are aligned one by one."""
+
+    def __init__(self) -> None:
+        self.columns: Profile = []
+        self.leads: list[tuple[float, str]] = []  # the heaviest token of each column
+        self.weight = 0.0
+
+    def add(self, ts: list[str], weight: float) -> None:
+        """Align tokens column by column (global alignment on the likeness to the heaviest tokens) and add their votes."""
+        n, m = len(self.columns), len(ts)
+        if not m:
+            return
+        heads = [t for _, t in self.leads]
+        score = [[0.0] * (m + 1) for _ in range(n + 1)]
+        like = [[likeness(h, t) for t in ts] for h in heads]
+        for i in range(n - 1, -1, -1):
+            row, below = score[i], score[i + 1]
+            for j in range(m - 1, -1, -1):
+                s = like[i][j]
+                row[j] = max(below[j], row[j + 1], below[j + 1] + s - 0.05 if s > 0.3 else 0.0)
+        columns, leads, i, j = [], [], 0, 0
+        while i < n or j < m:
+            if i < n and j < m and like[i][j] > 0.3 and score[i][j] == score[i + 1][j + 1] + like[i][j] - 0.05:
+                col, t = self.columns[i], ts[j]
+                col[t] = col.get(t, 0.0) + weight
+                columns.append(col)
+                leads.append(max(self.leads[i], (col[t], t)))
+                i, j = i + 1, j + 1
+            elif i < n and (j == m or score[i][j] == score[i + 1][j]):
+                col = self.columns[i]
+                col[""] = col.get("", 0.0) + weight
+                columns.append(col)
+                leads.append(self.leads[i])
+                i += 1
+            else:
+                columns.append({ts[j]: weight} | ({"": self.weight} if n else {}))
+                leads.append((weight, ts[j]))
+                j += 1
+        self.columns, self.leads, self.weight = columns, leads, self.weight + weight
 
 
 def shape(token: str) -> float:
@@ -110,10 +121,15 @@ def clipped(token: str, word: str) -> bool:
 
 def profile(values: list[tuple[str, float]]) -> Profile:
     """Progressive alignment: the longest and heaviest value opens the profile, the others join by falling weight."""
-    out: Profile = []
-    for value, weight in sorted(values, key=lambda v: (-len(v[0].split()) * v[1], v[0])):
-        out = merge(out, [{t: weight} for t in tokens(value)])
-    return out
+    out = Alignment()
+    for value, weight in sorted(values, key=lambda v: (turn(*v), v[0])):
+        out.add(tokens(value), weight)
+    return out.columns
+
+
+def turn(value: str, weight: float) -> float:
+    """The place of a value in the alignment, the least first."""
+    return -len(value.split()) * weight
 
 
 def tokens(value: str) -> list[str]:
@@ -128,9 +144,20 @@ def consensus(columns: Profile) -> list[str]:
     for col in columns:
         votes: dict[str, float] = {}
         tokens = sorted((t for t in col if t), key=lambda t: (-shape(t), -len(t), t))
+        # an abbreviation is shorter than its word and shares its first letter; each list is in the order of the tokens
+        words: dict[str, dict[int, list[tuple[int, str]]]] = defaultdict(lambda: defaultdict(list))
+        alike: dict[str, str] = {}
+        for i, t in enumerate(tokens):
+            f = fold(t)
+            words[f[:1]][len(f)].append((i, t))
+            alike.setdefault(f, t)
         for t in tokens:
             votes[t] = votes.get(t, 0.0) + col[t] * shape(t)
-            fuller = next((u for u in tokens if u != t and clipped(t, u)), None) or next((u for u in tokens if u != t and fold(u) == fold(t) and shape(u) > shape(t)), None)
+            f = fold(t).strip(".")
+            least = len(f) + 1 if t.endswith(".") else -(-5 * len(f) // 3)
+            full = [next(((i, u) for i, u in us if u != t and clipped(t, u)), None) for n, us in words[f[:1]].items() if n >= least] if f else []
+            same = alike[fold(t)]
+            fuller = min(filter(None, full), default=(0, same if shape(same) > shape(t) else None))[1]
             if fuller:
                 votes[fuller] = votes.get(fuller, 0.0) + votes.pop(t) + col[t] * 0.5
         best = max(votes, key=lambda t: (votes[t], t))
@@ -172,8 +199,8 @@ def field_survivors(records: DataFrame, source_list: DataFrame, venue_list: Data
     consensus of the values that mean this place. Null ids form no group. A field without a usable
     value gives no row. Equal values are told apart by the smallest record_id. Extra columns are ignored.
 
-    Shuffles carry values aggregated per id and value; a group of any size is aligned in salted
-    parts of bounded size, whose profiles are merged.
+    Shuffles carry values aggregated per id and value; a group of very many values is sorted and
+    streamed through the same alignment.
     """
     sources = [tuple(r) for r in source_list.select("source_name", F.col("trust_rank").cast("int"), "gives_counts").collect()]
     base = records.where(F.col("arxiv_id").isNotNull() & F.col("record_id").isNotNull()).select(
@@ -272,21 +299,30 @@ def venues(base: DataFrame, venue_list: DataFrame) -> DataFrame:
     return alone.unionByName(found).unionByName(big).select("arxiv_id", F.lit("venue").alias("field"), "record_id")
 
 
+def plain(value: str) -> str:
+    return fold(value).strip()
+
+
+def uncut(values: Iterable[dict]) -> Iterator[dict]:
+    """Of values sorted by ``plain`` text, those not cut off inside a name that another value tells in full; their weight goes to the first that does."""
+    held: list[tuple[str, bool, dict]] = []
+    for y in values:
+        y, u, still = dict(y), plain(y["venue"]), []
+        for head, open_end, x in held:
+            if not u.startswith(head):  # nor will any later value
+                yield x
+            elif len(u) > len(head) and (open_end or (head[-1:].isalnum() and u[len(head)].isalnum())):
+                y["weight"] += x["weight"]
+            else:
+                still.append((head, open_end, x))
+        v = fold(y["venue"])
+        held = [*still, (u, v != v.rstrip() or u.split()[-1:] != [] and u.split()[-1] in FILLERS, y)]
+    yield from (x for _, _, x in held)
+
+
 def whole(few: list[dict]) -> list[dict]:
     """The values without those cut off inside a name that another value of the group tells in full; their weight goes to it."""
-    out, cut = [dict(x) for x in few], []
-    for x in out:
-        v = fold(x["venue"])
-        head = v.strip()
-        open_end = v != v.rstrip() or head.split()[-1:] and head.split()[-1] in FILLERS
-        for y in out:
-            u = fold(y["venue"]).strip()
-            if len(u) > len(head) and u.startswith(head) and (open_end or (head[-1].isalnum() and u[len(head)].isalnum())):
-                y["weight"] += x["weight"]
-                cut.append(x["venue"])
-                break
-    kept = [x for x in out if x["venue"] not in cut]
-    return kept or out
+    return list(uncut(sorted(few, key=lambda x: (plain(x["venue"]), x["venue"]))))
 
 
 def nearest(canonical: dict[int, str | None]):
@@ -305,40 +341,60 @@ def nearest(canonical: dict[int, str | None]):
     return run
 
 
-def voters(values: list[tuple[str, float]], name: str | None) -> list[tuple[str, float]]:
+def voters(values: list[tuple[str, float]], name: str | None, weights: Iterable[float] | None = None) -> list[tuple[str, float]]:
     """The typed values and, for a listed place, its canonical name with four times the weight of them all."""
-    return values + [(name, 4 * sum(w for _, w in values))] if name else values
+    return values + [(name, 4 * math.fsum((w for _, w in values) if weights is None else weights))] if name else values
+
+
+def by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, Iterator[dict]]]:
+    """((arxiv_id, place), rows) of a partition sorted by both; groups may span batches, and none is held in memory."""
+    return groupby((r for b in batches for r in b.to_pylist()), itemgetter("arxiv_id", "place"))
 
 
 def settle_hot(rows: DataFrame, canonical: dict[int, str | None]) -> DataFrame:
-    """The same for groups with very many values: salted profiles, merged once, then every value measured where it lies."""
-    packed = rows.groupBy("arxiv_id", "place", F.pmod(F.xxhash64("venue", "first"), F.lit(1024)).alias("salt")).agg(F.collect_list(F.struct("venue", "weight")).alias("few"))
+    """The same as ``nearest`` for groups with very many values, which are sorted and streamed instead of collected.
 
-    def profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Sorted by their plain text, cut values stand right before the fuller ones; sorted by their turn,
+    they are aligned as ``profile`` does; then every value is measured where it lies.
+    """
+    keys = ["arxiv_id", "place"]
+    kind = "arxiv_id string, place long, venue string, weight double, first long, turn double"
+    names = ["arxiv_id", "place", "venue", "weight", "first", "turn"]
+    types = pa.schema(list(zip(names, (pa.string(), pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.float64()))))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [[list(c.items()) for c in profile([(x["venue"], x["weight"]) for x in few])] for few in b.column("few").to_pylist()]
-            kind = pa.list_(pa.list_(pa.struct([("t", pa.string()), ("w", pa.float64())])))
-            cols = pa.array([[[{"t": t, "w": w} for t, w in c] for c in p] for p in made], kind)
-            yield pa.RecordBatch.from_arrays([b.column("arxiv_id"), b.column("place"), cols], ["arxiv_id", "place", "columns"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([plain(v) for v in b.column("venue").to_pylist()], pa.string())], [*b.schema.names, "plain"])
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[dict] = []
+        for (group, place), values in by_group(batches):
+            weights = array("d")
+            for x in uncut(values):
+                weights.append(x["weight"])
+                out.append(x | {"turn": turn(x["venue"], x["weight"])})
+                if len(out) == 10_000:
+                    yield pa.RecordBatch.from_pylist(out, types)
+                    out.clear()
+            for told in voters([], canonical.get(place), weights):  # the canonical name votes, but is no record's value
+                out.append({"arxiv_id": group, "place": place, "venue": told[0], "weight": told[1], "first": None, "turn": turn(*told)})
+        yield pa.RecordBatch.from_pylist(out, types)
 
     def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for place, parts in zip(b.column("place").to_pylist(), b.column("parts").to_pylist()):
-                total: Profile = []
-                for p in sorted(([{x["t"]: x["w"] for x in c} for c in p] for p in parts), key=lambda p: (-len(p), str(p))):
-                    total = merge(total, p)
-                if name := canonical.get(place):
-                    total = merge(total, [{t: 4 * sum(total[0].values())} for t in name.split()])
-                out.append(consensus(total))
-            yield pa.RecordBatch.from_arrays([b.column("arxiv_id"), b.column("place"), pa.array(out, pa.list_(pa.string()))], ["arxiv_id", "place", "agreed"])
+        for (group, place), values in by_group(batches):
+            made = Alignment()
+            for x in values:
+                made.add(tokens(x["venue"]), x["weight"])
+            yield pa.RecordBatch.from_arrays([pa.array([group], pa.string()), pa.array([place], pa.int64()), pa.array([consensus(made.columns)], pa.list_(pa.string()))], ["arxiv_id", "place", "agreed"])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             d = [distance(v, a) for v, a in zip(b.column("venue").to_pylist(), b.column("agreed").to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column("arxiv_id"), b.column("weight"), b.column("first"), pa.array(d, pa.float64())], ["arxiv_id", "weight", "first", "d"])
 
-    parts = packed.mapInArrow(profiles, "arxiv_id string, place long, columns array<array<struct<t:string,w:double>>>")
-    agreed = parts.groupBy("arxiv_id", "place").agg(F.collect_list("columns").alias("parts")).mapInArrow(agree, "arxiv_id string, place long, agreed array<string>")
-    far = rows.join(agreed, ["arxiv_id", "place"]).mapInArrow(measure, "arxiv_id string, weight double, first long, d double")
+    typed = rows.select("arxiv_id", "place", "venue", "weight", "first").mapInArrow(read, "arxiv_id string, place long, venue string, weight double, first long, plain string")
+    kept = typed.repartition(*keys).sortWithinPartitions(*keys, "plain", "venue").drop("plain").mapInArrow(keep, kind)
+    voting = kept.repartition(*keys).sortWithinPartitions(*keys, "turn", "venue")
+    agreed = voting.mapInArrow(agree, "arxiv_id string, place long, agreed array<string>")
+    far = kept.where("first is not null").join(agreed, keys).mapInArrow(measure, "arxiv_id string, weight double, first long, d double")
     return far.groupBy("arxiv_id").agg(F.min(F.struct("d", -F.col("weight"), "first"))["first"].alias("record_id"))

@@ -79,3 +79,14 @@ def test_cut_names_vote_for_the_whole():
     assert [x["first"] for x in kept] == [2, 3] and sum(x["weight"] for x in kept) == 11.0
     assert S.whole([{"venue": "Summer School on ", "weight": 1.0, "first": 1}, {"venue": "summer school on Rustic Ontology", "weight": 1.0, "first": 2}])[0]["first"] == 2
     assert len(S.whole(few[1:])) == 2 and len(S.whole(few[:1])) == 1
+
+
+def test_both_ways_choose_the_same_record(spark, monkeypatch):
+    """Cut values, abbreviations and slips, with and without a canonical name, collected or streamed."""
+    t = "Advances in Meridian Simulation"
+    typed = ["Advances in Meridian Simul", "Advances in Meridian Si", "Advances in ", "Adv. in Merid. Simulation", "Advances in Meridian Simulatin", t + " 2019", t.upper(), "Advances  in Meridian Simulation"]
+    loose = ["Forum for Ivory Hydrolo", "Forum for Ivory Hydrology", "Forum for Ivory Hydrology", "Forum for Iv", "Forum for", "Frm. for Ivory Hydrol.", "FORUM FOR IVORY HYDROLOGY 12", "Forum for Ivry Hydrology"]
+    rows = [(i, "a", v, None, "Publisher Feed" if i < 2 else "Web Crawl", 30 - i) for i, v in enumerate(typed)] + [(20 + i, "b", v, None, "Publisher Feed" if i < 1 else "Web Crawl", 40 - 9 * i) for i, v in enumerate(loose)]
+    few = run(spark, rows)
+    monkeypatch.setattr(S, "GROUP_VALUES", 1)
+    assert run(spark, rows) == few and few[("b", "venue")] == 21
