@@ -48,6 +48,8 @@ NICKNAMES = {
 RARE = 0.25
 #: Spellings of a block up to which all are compared outright; a larger block is searched through an index, to the same result.
 BLOCK_NAMES = 2000
+#: The same for organisations, whose comparisons cost more.
+BLOCK_ORGANISATIONS = 50
 _VOWELS = frozenset("aeiouy")
 
 
@@ -227,12 +229,16 @@ def assigned(a: tuple[str, ...], b: tuple[str, ...]) -> float | None:
     """Least cost of an optimal one-to-one assignment of two token lists, None if a token finds no partner.
 
     A token pairs with its equal (0), its abbreviation (0.3) or a misspelling of one or two letters (0.5 each). A dynamic
-    programme over the sets of used tokens finds the optimum; the lists of names are short.
+    programme over the sets of used tokens finds the optimum of short lists, the Hungarian method that of longer ones.
     """
+    if len(a) == len(b) and sorted(a) == sorted(b):
+        return 0.0
     if len(a) != len(b):
         a, b = spelled_out(a, b), spelled_out(b, a)
-    if len(a) != len(b) or len(a) > 10:
+    if len(a) != len(b):
         return None
+    if len(a) > 10:
+        return hungarian([[token_cost(x, y) for y in b] for x in a])
 
     best: dict[int, float] = {0: 0.0}
     for x in a:
@@ -245,6 +251,36 @@ def assigned(a: tuple[str, ...], b: tuple[str, ...]) -> float | None:
     return min(best.values(), default=None)
 
 
+def hungarian(cost: list[list[float | None]]) -> float | None:
+    """Least sum of a one-to-one assignment of rows to columns, None if there is none; takes the cube of their number."""
+    n, never = len(cost), 1e6
+    u, v, of = [0.0] * (n + 1), [0.0] * (n + 1), [0] * (n + 1)
+    for i in range(1, n + 1):
+        of[0], j, least, way, used = i, 0, [float("inf")] * (n + 1), [0] * (n + 1), [False] * (n + 1)
+        while of[j]:
+            used[j], row, delta, to = True, of[j], float("inf"), 0
+            for k in range(1, n + 1):
+                if not used[k]:
+                    c = cost[row - 1][k - 1]
+                    c = (never if c is None else c) - u[row] - v[k]
+                    if c < least[k]:
+                        least[k], way[k] = c, j
+                    if least[k] < delta:
+                        delta, to = least[k], k
+            for k in range(n + 1):
+                if used[k]:
+                    u[of[k]] += delta
+                    v[k] -= delta
+                else:
+                    least[k] -= delta
+            j = to
+        while j:
+            of[j] = of[way[j]]
+            j = way[j]
+    pairs = [cost[of[k] - 1][k - 1] for k in range(1, n + 1)]
+    return None if None in pairs else sum(pairs)
+
+
 def spelled_out(a: tuple[str, ...], b: tuple[str, ...]) -> tuple[str, ...]:
     """``a`` with a token that is the initials of consecutive tokens of ``b`` replaced by them, or split where it is two of them joined."""
     for i, t in enumerate(a):
@@ -331,18 +367,22 @@ def link_block(rows: list[tuple]) -> list[set[str]]:
     indexed = len(rows) > BLOCK_NAMES
     orgs = sorted((r for r in rows if r[1] == "o"), key=lambda r: (-r[9], r[0]))
     groups: list[list[tuple]] = []
-    words = OrganisationIndex([tuple(r[7]) for r in orgs]) if indexed else None
+    forms: list[list[tuple[str, ...]]] = []  # the different token lists of each group
+    words = OrganisationIndex([tuple(r[7]) for r in orgs]) if indexed or len(orgs) > BLOCK_ORGANISATIONS else None
     for r in orgs:
-        for i in words.groups(tuple(r[7])) if words else range(len(groups)):
-            c = [assigned(tuple(r[7]), tuple(m[7])) for m in groups[i][:3]]
-            if any(x is not None and x <= 1.5 for x in c):
+        mine = tuple(r[7])
+        for i in words.groups(mine) if words else range(len(groups)):
+            if any((c := assigned(mine, m)) is not None and c <= 1.5 for m in forms[i]):
                 break
         else:
             i = len(groups)
             groups.append([])
+            forms.append([])
         groups[i].append(r)
-        if words and len(groups[i]) <= 3:
-            words.add(tuple(r[7]), i)
+        if mine not in forms[i]:
+            forms[i].append(mine)
+            if words:
+                words.add(mine, i)
     out += [{m[0] for m in g} for g in groups]
 
     people = [r for r in rows if r[1] == "p"]
@@ -463,7 +503,7 @@ def name_pairs(papers: DataFrame, column: str = "authors") -> DataFrame:
     a misspelling of two others. Result pairs are closed over a shared spelling.
 
     Spellings meet in blocks of (a string left of the surname by at most one deletion, a letter the
-    given name may begin with); of organisations, one of their three rarest words takes the surname's
+    given name may begin with); of organisations, any of their words takes the surname's
     place. A block is linked as a whole whatever its size, as initials link only where no second
     person fits; a task holds the spellings of one block at a time.
     """
@@ -477,11 +517,8 @@ def name_pairs(papers: DataFrame, column: str = "authors") -> DataFrame:
     swap = (F.col("order") == "?") & (F.coalesce("cs", F.lit(0)) >= 3) & (F.coalesce("cs", F.lit(0)) > 4 * F.coalesce("cg", F.lit(0)))
     told = told.select("name", "uses", "kind", F.when(swap, F.col("g")).otherwise(F.col("surname")).alias("surname"), "particle", F.when(swap, F.col("surname")).otherwise(F.col("given")).alias("given"), "initials", "middle", "tokens", F.coalesce(F.when(swap, F.col("cs")).otherwise(F.col("cg")), F.lit(0)).alias("companions"))
     orgs = parsed.where("kind = 'o'")
-    words = orgs.select("name", F.explode("tokens").alias("t")).distinct()
-    common = words.groupBy("t").agg(F.count("*").alias("n"))
-    rare = words.join(common, "t").groupBy("name").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "t"))), 1, 3).alias("rare"))
-    orgs = orgs.join(rare, "name").select("name", "uses", "kind", F.lit("").alias("surname"), "particle", "given", "initials", "middle", "tokens", F.lit(0).cast("long").alias("companions"), F.transform("rare", lambda r: r["t"]).alias("rare"))
-    rows = told.withColumn("rare", F.array().cast("array<string>")).unionByName(orgs)
+    orgs = orgs.select("name", "uses", "kind", F.lit("").alias("surname"), "particle", "given", "initials", "middle", "tokens", F.lit(0).cast("long").alias("companions"))
+    rows = told.unionByName(orgs)
     cols = ["name", "kind", "surname", "particle", "given", "initials", "middle", "tokens", "companions", "uses"]
     schema = "key long, name string, kind string, surname string, particle string, given string, initials string, middle string, tokens array<string>, companions long, uses long"
 
@@ -492,7 +529,7 @@ def name_pairs(papers: DataFrame, column: str = "authors") -> DataFrame:
             take, keys = [], []
             for i, kind in enumerate(d["kind"]):
                 if kind == "o":
-                    mine = {v for w in d["rare"][i] for v in deletes(w, 1)}
+                    mine = {v for w in d["tokens"][i] for v in deletes(w, 1)}
                 else:
                     given, ini = d["given"][i], d["initials"][i]
                     letters = start_letters(given) if given else [ini[0]] if ini else [""]
@@ -503,7 +540,7 @@ def name_pairs(papers: DataFrame, column: str = "authors") -> DataFrame:
             pick = pa.array(take, pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *[b.column(c).take(pick) for c in cols]], ["key", *cols])
 
-    keys = rows.select(*cols, "rare").mapInArrow(keyed, schema)
+    keys = rows.select(*cols).mapInArrow(keyed, schema)
     light = keys.select("key", "name")
     size = light.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     placed = light.join(size.select("key"), "key").join(rows.select(*cols), "name")

@@ -72,3 +72,20 @@ def test_large_blocks_link_as_small_ones(spark, monkeypatch):
     monkeypatch.setattr(N, "BLOCK_NAMES", 0)
     assert {frozenset(c) for c in N.link_block(rows)} == linked
     assert pairs(spark, [*crowd, people, orgs]) == whole
+
+
+def test_organisations_without_caps(spark):
+    """Names of many words, a form like the fourth of its group, and an acronym whose shared words are common ones."""
+    long = "Kamupilt Revburn Tokamak Ocean Deep Field Polar Data Sensor Imaging Genome Robotics Collaboration"
+    turned = "Collaboration " + long.replace(" Collaboration", "").replace("Polar", "Polxr")
+    assert assigned(parse(long).tokens, parse(long.upper()).tokens) == 0.0
+    assert assigned(parse(long).tokens, parse(turned).tokens) == 0.5
+    assert assigned(parse(long).tokens, parse(long.replace("Genome", "Speech")).tokens) is None
+    drift = ["Kamupilt Imaging Collaboration", "Kamupilt Imagging Collaboration", "Kamupilt Imagin Collaboration", "Kamupillt Imaging Collaboration", "Kammupillt Imagng Coll. of"]
+    rows = [(n, "o", "", "", "", "", "", parse(n).tokens, 0, 9 - i) for i, n in enumerate(drift)]
+    assert {frozenset(c) for c in N.link_block(rows)} == {frozenset(drift)}
+    crowd = [[f"{x} Survey Team"] for x in ("Revburn", "Novivkark", "Gimamhast")]
+    a, b = "Ocean Model Working Group Collaboration Alliance", "OM Working Group Collaboration Alliance"
+    got = pairs(spark, [*crowd, [long, long.upper(), turned], [a, b], *[[f"{x} Working Group Collaboration Alliance"] for x in ("Tamer", "Jolvin", "Derel", "Sesol")], ["OM Xi", "Ocean Flow Team", "Ocean Tide Team", "Model Flow Team", "Model Tide Team"]])
+    assert (a, b) in got or (b, a) in got
+    assert {tuple(sorted(x)) for x in ((long, long.upper()), (long, turned))} <= got
