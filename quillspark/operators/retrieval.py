@@ -124,7 +124,7 @@ def pair_rerank(rows: DataFrame, query: str, score: Callable[[Column, Column], C
     """Best rows by a pair scorer over title and abstract start; the sigmoid goes to a column of its own. Without a scorer the first rows stay, unscored."""
     if score is None:
         return rows.withColumn("pair_score", F.lit(None).cast("double")).orderBy(F.desc("similarity"), "paper_id").limit(keep)
-    raw = score(F.lit(query), F.substring(F.concat_ws("\n\n", "title", "abstract"), 1, V.PAIR_CHARS))
+    raw = score(F.lit(query), F.concat_ws("\n\n", "title", F.substring("abstract", 1, V.PAIR_CHARS)))
     return rows.withColumn("raw_score", raw).withColumn("pair_score", F.round(1 / (1 + F.exp(-F.col("raw_score"))), 6)).orderBy(F.desc("raw_score"), "paper_id").limit(keep).drop("raw_score")
 
 

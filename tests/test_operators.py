@@ -126,3 +126,10 @@ def test_highlights_keep_papers_without_sentences(spark):
     df = spark.createDataFrame([("1", "We rank proteins by hand. Routing is a protein task. Nothing else matters here."), ("2", "Short."), ("3", None)], "paper_id string, abstract string")
     got = {r.paper_id: r.reason for r in R.highlights(df, ["protein", "routing"]).collect()}
     assert got["1"].startswith("Routing is a protein task....") and got["2"] == got["3"] == "No extractable sentences found in abstract."
+
+
+def test_pair_scorer_sees_the_whole_title(spark):
+    """Only the abstract is cut, so a long title takes nothing from it."""
+    made = rows(spark, [("a", 0.5, "t" * 1600, "b" * 1600), ("b", 0.4, "t" * 100, "b" * 1500), ("c", 0.3, "t", None)], "paper_id string, similarity double, title string, abstract string")
+    got = R.pair_rerank(made, "x", lambda _, text: F.length(text) / 1000.0).select("paper_id", "pair_score")
+    assert {r.paper_id: r.pair_score for r in got.collect()} == {i: pytest.approx(1 / (1 + 2.718281828459045 ** (-n / 1000)), abs=1e-6) for i, n in (("a", 3102), ("b", 1602), ("c", 1))}
