@@ -341,10 +341,12 @@ def examine(text: str | None) -> tuple[bool, list[int]]:
             return True, []
         bare = _QUOTED.sub(" ", s) if len(s) > 60 else s
         head = bare.lstrip(" \t-–—*•·>#\"'([{")
-        told = cues(bare.lower()) if len(head) < 400 else 0
-        if len(head) < 400 and (told & 1 or _CODE.search(bare)) and (_STRONG.search(head) or _STRONG.search(bare)):
+        told = cues(bare.lower())
+        # a page without sentence ends is one long segment: a message counts where it opens it
+        find = _STRONG.search if len(head) < 400 else _STRONG.match
+        if (told & 1 or _CODE.search(bare)) and (find(head) or find(bare)):
             return True, []
-        if told & 2 and 8 < len(s) < 200 and _ADDRESS.search(bare) and not _PAPER.search(s) and not _NAMED.search(s) and not _MENTION.search(s):
+        if told & 2 and 8 < len(s) and _ADDRESS.search(bare) and not _PAPER.search(s) and not _NAMED.search(s) and not _MENTION.search(s):
             weak.append(xxhash.xxh3_64_intdigest(masked(s)) - (1 << 63))
     if wrongly_filled(text):
         return True, []

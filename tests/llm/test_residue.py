@@ -70,3 +70,12 @@ def test_documents(spark):
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, source string, sure string")
     assert sorted(r.doc_id for r in residue(df).collect()) == [1, 6, 7]  # 8 and 9 recur at one site only
     assert residue(df.where("false")).count() == 0
+
+
+def test_long_segments():
+    """Pages without sentence ends or line breaks are one segment: opening messages and recurring ones are seen at any length."""
+    menu = "home browse archive topics people archive index " * 12
+    assert examine("Please enable JavaScript to view this page " + menu)[0]
+    assert examine("404 Not Found " + menu)[0]
+    assert not examine(menu + "404 Not Found")[0]
+    assert examine("Try again later or contact the administrator of this page " + menu)[1]
