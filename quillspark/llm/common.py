@@ -52,6 +52,8 @@ def sampled(df: DataFrame, size: int, *key: str) -> DataFrame:
 
 def fold(s: str) -> str:
     """Lower-cased text without combining marks; stroke letters lose their stroke."""
+    if s.isascii():
+        return s.lower()
     s = unicodedata.normalize("NFKD", s)
     return "".join(c for c in s if not unicodedata.combining(c)).lower().translate(_STROKES)
 

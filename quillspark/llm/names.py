@@ -51,6 +51,7 @@ BLOCK_NAMES = 2000
 #: The same for organisations, whose comparisons cost more.
 BLOCK_ORGANISATIONS = 50
 _VOWELS = frozenset("aeiouy")
+_LETTERS = re.compile(r"[^\W\d_]+")
 
 
 class Name(NamedTuple):
@@ -77,19 +78,34 @@ def repaired(s: str) -> str:
     return s
 
 
+@lru_cache(50_000)
+def misspelt_organisation(word: str) -> bool:
+    """Whether a folded word is within two edits of a long word that marks an organisation."""
+    return len(word) > 5 and any(abs(len(word) - len(o)) <= 2 and len(o) > 6 and damerau(word, o, 2) <= 2 for o in ORGANISATIONS)
+
+
+@lru_cache(50_000)
+def shortened_organisation(word: str) -> bool:
+    """Whether a folded word abbreviates one that marks an organisation."""
+    return any(shortens(word, o) for o in ORGANISATIONS)
+
+
+@lru_cache(200_000)
 def parse(raw: str) -> Name:
     """Read a typed name. Titles, notes, footnote marks and odd spaces are dropped; surname-first forms are turned."""
-    s = unicodedata.normalize("NFC", repaired(raw))
-    s = "".join(" " if unicodedata.category(c)[0] in "ZC" and c != "­" and unicodedata.category(c) != "Cf" else c for c in s if unicodedata.category(c) != "Cf")
+    s = repaired(raw)
+    if not s.isascii() or not s.isprintable():
+        s = unicodedata.normalize("NFC", s)
+        s = "".join(" " if unicodedata.category(c)[0] in "ZC" else c for c in s if unicodedata.category(c) != "Cf")
     s = s.replace("_", " ").replace("’", "'").replace("‐", "-").replace("–", "-")
     s = re.sub(r"\bet al\b\.?", " ", s)
-    low = {fold(w) for w in re.findall(r"[^\W\d_]+", s)}
     apart = re.sub(r"([a-zß-ž])([A-ZÀ-Þ][a-zß-ž])", r"\1 \2", s)  # words whose space is missing
-    words = re.findall(r"[^\W\d_]+", apart)
-    near_end = [fold(w) for w in words[-2:]] + [fold(words[0])] if len(words) > 2 else []
-    misspelt = any(len(w) > 5 and abs(len(w) - len(o)) <= 2 and len(o) > 6 and damerau(w, o, 2) <= 2 for w in near_end for o in ORGANISATIONS)
-    if low & ORGANISATIONS or misspelt or (len(words) >= 3 and any(len(w) >= 2 and any(shortens(fold(w), o) and len(w) <= 7 and w + "." in s for o in ORGANISATIONS) for w in words[-2:]) and not any(len(w) == 1 for w in words)):
-        toks = tuple(fold(w) for w in words if fold(w) not in WEIGHTLESS)
+    words = _LETTERS.findall(apart)
+    folded = [fold(w) for w in words]
+    near_end = {*folded[-2:], folded[0]} if len(words) > 2 else ()
+    shortened = len(words) >= 3 and any(2 <= len(w) <= 7 and w + "." in s and shortened_organisation(fold(w)) for w in words[-2:]) and not any(len(w) == 1 for w in words)
+    if not ORGANISATIONS.isdisjoint(folded) or not ORGANISATIONS.isdisjoint(map(fold, _LETTERS.findall(s))) or any(misspelt_organisation(w) for w in near_end) or shortened:
+        toks = tuple(w for w in folded if w not in WEIGHTLESS)
         return Name("o", tokens=toks) if toks else Name("")
     s = re.sub(r"\([^)]*\)|\[[^\]]*\]", " ", s)
     s = re.sub(r"[*†‡§¶#]|\d+", " ", s)
