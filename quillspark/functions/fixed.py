@@ -53,14 +53,19 @@ QUALITIES = [
 INTENT_WEIGHTS = {"novelty": (1.4, 0.8), "survey": (1.2, 1.2), "diversity": (1.2, 1.0), "foundational": (0.8, 1.4), "specific": (1.0, 1.3), "general": (1.0, 1.0)}
 NOT_NAMES = ["the", "a", "an", "using", "applying", "comparing", "combining", "leveraging", "improving", "training", "learning", "relevance", "date", "citation", "impact", "year", "default", "any", "all"]
 LEAK_TERMS = ["novel", "new", "recent", "latest", "emerging", "state-of-the-art", "sota", "cutting-edge"]
-GENERIC_TERMS = (
-    "artificial intelligence|machine learning|deep learning|neural network|neural networks|model|models|method|methods|approach|approaches|technique|techniques|algorithm|algorithms|"
-    "framework|frameworks|system|systems|research|paper|papers|work|data|result|results|performance|analysis|learning|training|evaluation|optimization|generation|text"
-).split("|")
-STOP_WORDS = (
-    "the and or for with that this from into about what are your their they them using used use am main whose where when which have has had been i being also only just more most very much some want "
-    "such than then over under not without within look papers paper interested looking brief contribution research like would should could please find show especially care example new novel recent"
-).split()
+GENERIC_TERMS = [
+    "artificial intelligence", "machine learning", "deep learning", "neural network", "neural networks", "model", "models", "method", "methods",
+    "approach", "approaches", "technique", "techniques", "algorithm", "algorithms", "framework", "frameworks", "system", "systems", "research",
+    "paper", "papers", "work", "data", "result", "results", "performance", "analysis", "learning", "training", "evaluation", "optimization",
+    "generation", "text",
+]
+STOP_WORDS = [
+    "the", "and", "or", "for", "with", "that", "this", "from", "into", "about", "what", "are", "your", "their", "they", "them", "using", "used",
+    "use", "am", "main", "whose", "where", "when", "which", "have", "has", "had", "been", "i", "being", "also", "only", "just", "more", "most",
+    "very", "much", "some", "want", "such", "than", "then", "over", "under", "not", "without", "within", "look", "papers", "paper", "interested",
+    "looking", "brief", "contribution", "research", "like", "would", "should", "could", "please", "find", "show", "especially", "care", "example",
+    "new", "novel", "recent",
+]
 EXPANSIONS = {
     "RLHF": "Reinforcement Learning from Human Feedback",
     "PPO": "Proximal Policy Optimization",
@@ -74,12 +79,21 @@ TEMPORAL_HINT = r"(?i)(19|20)\d{2}|\b(recent|latest|current|modern|new|newest|la
 IMPACT_HINT = r"(?i)\b(influential|impact|impactful|cited|citation|seminal|landmark|foundational|pioneering|important|significant|famous|popular|well[- ]known|state[- ]of[- ]the[- ]art|sota)\b"
 NOT_HEADER = "WHAT I AM NOT LOOKING FOR"
 BRIEF_HEADER = "RESEARCH BRIEF:"
+# Exclusions, names and years stated in briefs
+INLINE_NOT = r"(?i)\b(?:exclude|excluding|omit|omitting|not including|not interested in|no papers (?:on|about)|nothing (?:on|about))\b[:\s]*([^.\n;]+)"
+STATED_BY = r"\b(?:authored\s+by|written\s+by|by)\s+((?:[A-Z][A-Za-z.'\-]+)(?:\s+(?:and\s+|&\s+|,\s*)?[A-Z][A-Za-z.'\-]+)*)"
+YEAR = r"(?:19|20)\d{2}"
+YEAR_RANGE = rf"(?i)\b(?:from|between)?\s*({YEAR})\s*(?:to|through|until|and|[-–—])\s*({YEAR})\b"
+LAST_YEARS = r"(?i)\b(?:last|past)\s+(\d{1,2})\s*years?\b"
+SINCE_YEAR = rf"(?i)\b(?:since|after|from|post-?)\s*({YEAR})\b"
+UNTIL_YEAR = rf"(?i)\b(?:before|prior to|up to|until|earlier than|pre-?)\s*({YEAR})\b"
 NO_BRIEF = "The user did not provide any research brief."
 
 # Numbers
 FUSION_K = 45
 SCAN_CAP = 20_000
 PRIMARY, SECONDARY = 0.68, 0.60
+KEYWORDS, MODEL_KEYWORDS, CRITERIA, SHORT_BRIEF = 8, 12, 5, 150
 KEEP_VECTOR, KEEP_PAIR, MIN_POOL, MIN_SCORED = 200, 150, 50, 20
 PAIR_CHARS = 1500
 DEFAULT_WEIGHTS = {"fame": 0.84, "hype": 0.0, "sniper": 0.0, "utility": 0.16}

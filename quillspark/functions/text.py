@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -10,16 +11,16 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import fixed as V
 
-# Patterns of exclusions, names and years that results must agree with.
-_INLINE_NOT = r"(?i)\b(?:exclude|excluding|omit|omitting|not including|not interested in|no papers (?:on|about)|nothing (?:on|about))\b[:\s]*([^.\n;]+)"
-_YEAR = r"(?:19|20)\d{2}"
-_BY = r"\b(?:authored\s+by|written\s+by|by)\s+((?:[A-Z][A-Za-z.'\-]+)(?:\s+(?:and\s+|&\s+|,\s*)?[A-Z][A-Za-z.'\-]+)*)"
-
 
 def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def holds_any(c: Column, words: list[str]) -> Column:
     """Whether a text contains one of the literals; false for null."""
     return F.coalesce(any_of([c.contains(w) for w in words]), F.lit(False))
@@ -96,13 +97,13 @@ def semantic_query(c: Column) -> Column:
 
 
 def without_negation(c: Column) -> Column:
-    return F.regexp_replace(positive_part(c), _INLINE_NOT, "")
+    return F.regexp_replace(positive_part(c), V.INLINE_NOT, "")
 
 
 def not_terms(c: Column) -> Column:
     """Terms a brief rejects: those of its exclusion section, then those of inline phrases; longer than three characters, first ten."""
     section = F.coalesce(F.get(F.split(c, f"(?i){V.NOT_HEADER}", 2), 1), F.lit(""))
-    inline = F.regexp_extract_all(positive_part(c), F.lit(_INLINE_NOT), 1)
+    inline = F.regexp_extract_all(positive_part(c), F.lit(V.INLINE_NOT), 1)
     chunks = F.concat(F.array(section), inline)
     raw = F.flatten(F.transform(chunks, lambda x: F.split(x, r"(?i)[,\n;]+|\band\b|\bor\b")))
     clean = F.transform(raw, lambda x: F.lower(F.regexp_replace(F.trim(F.regexp_replace(x, r"^\s+|\s+$", "")), r"^[-–—:.]+|[-–—:.]+$", "")))
@@ -116,7 +117,7 @@ def split_terms(c: Column) -> Column:
 
 def authors_of(c: Column) -> Column:
     """Up to five names stated with "by"."""
-    found = F.regexp_extract_all(c, F.lit(_BY), 1)
+    found = F.regexp_extract_all(c, F.lit(V.STATED_BY), 1)
     names = F.transform(F.flatten(F.transform(found, lambda m: F.split(m, r"(?i)\s+and\s+|\s*&\s*|,\s*"))), F.trim)
     kept = F.filter(names, lambda n: (F.length(n) >= 2) & ~F.lower(F.split(n, " ")[0]).isin(V.NOT_NAMES))
     return F.slice(F.array_distinct(kept), 1, 5)
@@ -134,22 +135,43 @@ def quality(c: Column) -> Column:
     return F.coalesce(*[F.when(holds_any(low, words), F.lit(name)) for name, words in V.QUALITIES], F.lit("any"))
 
 
-def _group(c: Column, pattern: str, i: int = 1) -> Column:
-    return F.nullif(F.regexp_extract(c, "(?i)" + pattern, i), F.lit("")).cast("int")
+def _number(c: Column, pattern: str, i: int = 1) -> Column:
+    return F.nullif(F.regexp_extract(c, pattern, i), F.lit("")).cast("int")
 
 
 def year_range(c: Column, this_year: int) -> tuple[Column, Column]:
     """Year bounds a brief states: a range, else last N years, since and before; a bare year bounds nothing."""
-    pattern = rf"\b(?:from|between)?\s*({_YEAR})\s*(?:to|through|until|and|[-–—])\s*({_YEAR})\b"
-    a, b = _group(c, pattern), _group(c, pattern, 2)
-    last = F.lit(this_year) - _group(c, r"\b(?:last|past)\s+(\d{1,2})\s*years?\b")
-    since, until = _group(c, rf"\b(?:since|after|from|post-?)\s*({_YEAR})\b"), _group(c, rf"\b(?:before|prior to|up to|until|earlier than|pre-?)\s*({_YEAR})\b")
+    a, b = _number(c, V.YEAR_RANGE), _number(c, V.YEAR_RANGE, 2)
+    last = F.lit(this_year) - _number(c, V.LAST_YEARS)
+    since, until = _number(c, V.SINCE_YEAR), _number(c, V.UNTIL_YEAR)
     return F.when(a.isNotNull(), F.least(a, b)).otherwise(F.coalesce(last, since)), F.when(a.isNotNull(), F.greatest(a, b)).otherwise(until)
 
 
 def year_in(c: Column) -> Column:
     """First 19xx or 20xx in any value."""
-    return _group(c.cast("string"), rf"({_YEAR})")
+    return _number(c.cast("string"), rf"({V.YEAR})")
+
+
+def keywords(c: Column, n: int = V.KEYWORDS) -> Column:
+    """The ``n`` weightiest terms of a brief's statement: pairs of neighbouring content words count twice, words within no pair once.
+
+    Equal weights go by first place, pairs before words. Short words and stop words are no content.
+    """
+    content = lambda w: (F.length(w) > 2) & ~w.isin(V.STOP_WORDS)
+
+    def neighbours(low: Column) -> Column:
+        ws = F.transform(F.split(low, r"\s+"), lambda w: F.regexp_replace(w, r"^[^a-z]+|[^a-z\-]+$", ""))
+        return bound(ws, lambda w: F.filter(F.zip_with(w, F.slice(F.concat(w, F.array(F.lit(""))), F.lit(2), F.size(w)), lambda a, b: F.when(content(a) & content(b), F.concat_ws(" ", a, b))), lambda p: p.isNotNull()))
+
+    def weighed(terms: Column, each: int, kind: int) -> Column:
+        return F.transform(F.array_distinct(terms), lambda t: F.struct((-each * F.size(F.filter(terms, lambda u: u == t))).alias("w"), F.lit(kind).alias("k"), F.array_position(terms, t).alias("at"), t.alias("term")))
+
+    def ranked(x: Column) -> Column:
+        lone = F.filter(x["runs"], lambda w: content(w) & ~F.exists(x["pairs"], lambda p: p.contains(w)))
+        return F.array_sort(F.concat(weighed(x["pairs"], 2, 0), bound(lone, lambda t: weighed(t, 1, 1))))
+
+    both = bound(F.lower(semantic_query(c)), lambda low: F.struct(neighbours(low).alias("pairs"), F.regexp_extract_all(low, F.lit(r"\b([a-z][a-z\-]+)\b"), 1).alias("runs")))
+    return F.transform(F.slice(bound(both, ranked), 1, n), lambda x: x["term"])
 
 
 def letters_match(acronym: Column, phrase: Column) -> Column:
