@@ -5,7 +5,10 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from collections import defaultdict
 from collections.abc import Iterator
+from re import _constants as sre
+from re._parser import parse as sre_parse
 
 import pyarrow as pa
 import xxhash
@@ -14,8 +17,15 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import spread, stage
 
+try:
+    import ahocorasick
+except ImportError:  # the strings are then looked up one by one
+    ahocorasick = None
+
 #: A message counts as widely recurring from this many sites and documents on.
 SITES, DOCUMENTS = 2, 2
+#: Words of the opening by which sentences put together from parts are grouped, too.
+OPENING = 4
 
 # Names of fields in templates of the domain, in the languages of the corpus.
 FIELDS = (
@@ -69,6 +79,20 @@ _SLOTS = re.compile(
         ]
     )
 )
+# Slots by their syntax alone, whatever the field is called: template expressions around an identifier, and brackets that ask.
+_IDENTIFIER = r"[^\W\d_]\w*(?:[ .\-]\w+){0,4}"
+_SYNTAX = re.compile(
+    "|".join(
+        [
+            r"\{\{\s*" + _IDENTIFIER + r"\s*\}\}",
+            r"\$\{\s*" + _IDENTIFIER + r"\s*\}",
+            r"<%=?\s*" + _IDENTIFIER + r"\s*%>",
+            r"\{%\s*" + _IDENTIFIER + r"\s*%\}",
+            r"(?<![\w\\^_$])\{[a-z]+(?:_[a-z]+)+\}",
+            r"[\[<](?i:insert|enter|add|your|todo|tbd|please)\b[^\[\]<>\n]{1,60}[\]>](?!\()",
+        ]
+    )
+)
 _DELIMITERS = ("[", "{", "<", "@", "~", "|", "%", "__", "&lt;", "«")
 _ASKING = re.compile(r"\((?:your|insert|enter|add)\s", re.I)
 _NUMBERED = re.compile(r"^\W*\[\d+\]")
@@ -85,123 +109,68 @@ _NONE_FILL = re.compile(r"\b[Cc]ited None times|\b(?:Title|Authors?|Venue|Year|D
 
 # Messages: patterns for a whole segment; they start where the segment starts.
 _SCRIPT = r"(java\s?script|js|scripts?|scripting|script execution|active content|client-side (code|scripting|scripts)|browser scripts?)"
-_STRONG = re.compile(
-    "|".join(
-        f"(?:{p})"
-        for p in [
-            # script notices
-            rf"^(?:\W|please |veuillez |noscript:? ?|warning:? |notice:? |to continue,? |sorry,? )*(?:please )?(?:enable|activate|turn on|switch on|allow)\b.{{0,30}}\b{_SCRIPT}\b",
-            rf"^.{{0,60}}\b(?:you (?:need|have) to|you must|please|if nothing appears,?|kindly) (?:enable|activate|turn on|switch on|allow)\b.{{0,30}}\b{_SCRIPT}\b",
-            rf"^{_SCRIPT}(?: and cookies)? (?:is|are|has to be|have to be|must be|needs? to be|seems? to be|appears? to be|could not be|cannot be|was not)\b.{{0,20}}\b(?:disabled|enabled|needed|required|blocked|switched off|turned off|turned on|allowed|supported|started|accepted|off|activated|available)\b",
-            rf"^(?:this|the|our) (?:site|page|website|app|application|viewer|reader|library|archive|portal|service|article) (?:requires?|needs?|relies on|depends on|uses|only works with|does not work without)\b.{{0,30}}\b{_SCRIPT}\b",
-            rf"^cookies (?:must be|have to be|need to be|are (?:needed|required)|and {_SCRIPT} (?:must|are required|are needed|have to))",
-            rf"^(?:sorry,? )?.{{0,50}}\b(?:cannot|can't|can not|will not|won't|does not|unable to) (?:run|load|work|be shown|be displayed|display|start)\b.{{0,30}}\bwithout {_SCRIPT}",
-            r"^noscript\b",
-            r"^.{0,20}\bjavascript\b.{0,60}\b(aktivieren|einschalten|activer|activez|habilit\w*|activ[ae]\w*|ative|ativar|deaktiviert|désactivé|desactivado|desativado)",
-            r"^.{0,12}\b(aktivieren sie|bitte aktivieren|veuillez activer|activez|habilite|active|ative|habilita)\b.{0,20}\bjavascript",
-            r"^.{0,20}(включите|разрешите|необходимо включить)\b.{0,20}(javascript|скрипт|сценар)|javascript.{0,30}(отключ|включ|требуется)",
-            r"请(启用|开启|打开|允许)\s*(javascript|脚本)|(javascript|脚本)\s*(已禁用|被禁用|未启用|を有効に|が無効|を有効化)|スクリプト.{0,12}(有効|許可)",
-            # error pages
-            r"^(?:\W|http(?:/\d(?:\.\d)?)? ?|error:? ?|fehler:? ?|erreur:? ?|ошибка:? ?|erro:? ?|status:? ?|code:? ?|错误[:：]? ?|エラー:? ?|warning:? ?|fatal:? ?|request failed:? ?|unavailable:? ?)*(?:[45]\d\d)\b\W*(?:not found|forbidden|bad gateway|bad request|unauthori[sz]ed|gone|internal server error|service (?:temporarily )?unavailable|gateway time-?out(?!s)|request time-?out(?!s)|too many requests|$|no se|la página|la page|die (?:seite|angeforderte)|страница|页面|ページ|página|pagina|the |this |no |sorry|access|page|an? |database|your |too |request|security)",
-            r"^err_\w+|^(?:unavailable|forbidden|gone|error|warning|fatal error|request failed|notice)\s+[-–—]\s+\w",
-            r"^(?:\W|sorry\b)*the full text is not available|^we are moving the archive",
-            r"^internal server error\W*$|^(?:oops|whoops|uh-?oh)\b\W|^sorry\s*[-–—:.!]\s",
-            r"^\(?(?:error|http|fehler|erreur|ошибка|erro|status) [45]\d\d\)?\W*$",
-            r"^http/\d(?:\.\d)? [45]\d\d\b",
-            r"^\(?[45]\d\d (?:not found|forbidden|bad gateway|gone|service unavailable|internal server error|gateway time-?out|unauthori[sz]ed|bad request)\)?\.?$",
-            r"^(?:\W|error:? |unavailable:? ?[-–]? ?|warning:? ?[-–]? ?|fatal error:? ?[-–]? ?|request failed:? ?[-–]? ?)*access (?:to this (?:page|document|resource|article) )?(?:is |was |has been )?denied\W*(?:you|$)",
-            r"^.{0,60}\b(?:you do not have permission|you are not authori[sz]ed|your account lacks the rights|you don't have access)\b",
-            r"^(?:\W|sorry,? |oops[,!.]* ?)*(?:something went wrong|an (?:unexpected |unknown |internal )(?:error|condition) (?:has )?(?:occurred|stopped))",
-            r"^(?:\W|request failed:? ?|warning:? ?[-–]? ?)*an unexpected condition stopped",
-            r"^sqlstate\[|^(?:database|mysql|postgres\w*|db) (?:connection )?(?:error|failed|connection failed)|database connection failed",
-            r"^(?:traceback \(most recent call last\)|(?:java|javax|org|com|net)\.[\w.$]+(?:exception|error)\b|exception in thread|fatal error:? ?(?:$|uncaught|call)|segmentation fault|uncaught (?:type|reference|syntax)?error|warning: \w+\(\))",
-            r"^\s*at [\w.$]+\([\w.]+:\d+\)",
-            r"^(?:the )?(?:upstream|search|paper|origin|remote|archive|index|backend|gateway) ?(?:server|index|backend|service)? (?:closed the connection|did not answer|returned no answer|timed out|is not responding|returned an error)",
-            r"^gateway time-?out(?!s)",
-            r"^(?:sorry,? )?(?:the|this) (?:requested )?(?:page|paper|document|article|record|file|resource|item|url|address|link|preprint)(?: you (?:are looking for|asked for|requested))?(?: either)? (?:could not be (?:located|found|loaded)|cannot be found|was not found|has moved|no longer exists|does not exist|was removed|has been removed|has expired|was typed incorrectly|is not available|is unavailable|has been deleted)",
-            r"^(?:\W|sorry,? |warning:? ?[-–]? ?|http \d+ ?[-–]? ?|fatal error ?[-–]? ?)*(?:the address was typed incorrectly|the record you asked for was removed|this link has expired|the security token did not match|your session has (?:expired|timed out)|session expired|too many (?:readers|users|requests|visitors) are connected|too many requests)",
-            r"^(?:this|the|our) (?:preprint |paper |search |web)?(?:server|site|service|archive|system) is (?:temporarily |currently )?(?:down|unavailable|offline|undergoing|under)\b",
-            r"^(?:error:? ?\d*:? ?)?(?:the )?service (?:is )?(?:temporarily|currently) unavailable",
-            r"^(?:we could not (?:render|load|display|open|find)|unable to (?:load|display|render|open|connect)|failed to (?:load|fetch|connect|render)|(?:the )?pdf (?:converter|viewer|renderer) (?:ran out|failed|crashed|could not))",
-            r"^please (?:confirm|verify|prove) that you are (?:not a robot|human|a human)|^(?:complete|solve) the captcha|^checking your browser",
-            r"^(?:institutional )?log ?in required\b|^institutional (?:login|access) required",
-            r"^(?:le (?:service|serveur) est|ce (?:service|serveur) est|la page (?:demandée|que vous)|page introuvable|accès refusé|accès interdit)|la page demandée est introuvable",
-            r"^(?:der (?:dienst|server) ist|dieser (?:dienst|server) ist|die (?:angeforderte )?seite (?:wurde nicht|konnte nicht|ist nicht)|seite nicht gefunden|zugriff verweigert)",
-            r"^(?:el (?:servicio|servidor) (?:no está|está)|(?:la )?página no encontrada|no se encontró la página|acceso denegado|acceso prohibido)|no se encontró la página solicitada",
-            r"^(?:o (?:serviço|servidor) está|página não encontrada|a página (?:solicitada|que)|acesso negado)|página (?:solicitada )?não (?:foi )?encontrada",
-            r"^(?:страница не найдена|доступ (?:запрещ|закрыт)|сервис (?:временно )?недоступен|сервер (?:временно )?недоступен)|запрашиваемая страница не найдена",
-            r"(?:页面(?:不存在|未找到|无法|找不到)|找不到(?:该|您|请求的)?页面|服务(?:暂时)?不可用|访问被拒绝|拒绝访问|无法访问|请稍后(?:再试|重试)|ページが(?:見つか|存在)|アクセスが拒否|サービスは?現在利用|しばらくして(?:から)?(?:もう一度|再度))",
-            # filler and template instructions
-            r"^(?:please )?(?:replace|overwrite|delete) this (?:paragraph|text|section|sentence|line|placeholder)\b",
-            r"^(?:a |the )?(?:short |brief )?(?:description|summary|abstract|text|content)\b.{0,40}\bwill (?:appear|be added|be inserted|go|follow) (?:in this space|here)",
-            r"^this is (?:a )?(?:placeholder|dummy|sample|filler|example)(?: text| paragraph| content| abstract)?\b",
-            r"^your (?:abstract|text|title|summary|content|introduction|paper title|name|conclusion|keywords) (?:goes|comes|belongs|should go|will appear|here)\b",
-            r"^(?:abstract|text|content|summary|title|section)(?: content| text)? (?:to be (?:provided|added|written|supplied|inserted)|goes here|coming soon)\b",
-            r"^(?:type|write|enter|insert|add|put) (?:something|your \w+|text|the \w+|content) here\b|^click (?:here )?to (?:edit|add)\b",
-            r"^name of the institution, city|^first author name, second author name|^(?:author|authors?) names? (?:here|go here)",
-            r"^(?:dummy|sample|placeholder|filler) (?:paragraph|text|abstract|sentence|abstract text|content)\b.{0,50}(?:\bused to\b|\.$|$)",
-            r"^more text follows here|^text (?:goes |follows )here|^the quick (?:brown|grey|red|white|black) \w+ jumps\b",
-            r"^(?:hier steht (?:ihr|der|dein) text|bitte ersetzen sie|hier (?:ihren?|den) \w+ einf|platzhalter(?:text)?\b)|blindtext blindtext",
-            r"^(?:saisissez ici|texte provisoire|remplacez ce|insérez (?:ici|votre)|votre (?:texte|résumé) ici|faux texte)",
-            r"^(?:escriba aquí|inserte (?:aquí|su)|reemplace este|sustituya este|texto (?:provisional|de relleno|de ejemplo)|aquí va (?:el|su))",
-            r"^(?:escreva aqui|digite aqui|insira (?:aqui|seu|o)|substitua este|texto (?:provisório|de exemplo|de preenchimento)|aqui vai)",
-            r"^(?:замените этот|здесь будет|вставьте (?:сюда|текст)|введите текст|текст-заполнитель|текст заполнитель)",
-            r"(?:此处填写|请替换本段|在此(?:处)?(?:输入|填写|插入)|占位(?:文字|文本|符)|ここに(?:要旨|本文|テキスト|文章|概要)|この段落を(?:置き換え|書き換え)|ダミーテキスト|サンプルテキスト)",
-        ]
-    ),
-    re.I,
-)
-# A word that any of the messages has; most segments of real texts have none and are passed over quickly.
-_CUES = tuple(
-    (
-        "javascript|java script|scripts|scripting|script execution|noscript|js is|js has|js could|js must|js seems|js and|js cannot|cookies|active content|client-side|скрипт|сценар|脚本|スクリプト|"
-        "http|denied|permission|authorized|authorised|rights for|have access|access to this|access is|access was|login|log in|went wrong|an unexpected|an unknown|an internal|unexpected condition|internal server|oops|uh-oh|uhoh|sorry|"
-        "sqlstate|database connection|database error|database failed|db error|db failed|mysql|postgres|traceback|exception|fatal|segmentation fault|uncaught|warning|error:|error -|error [|error 4|error 5|errors 4|"
-        "closed the connection|did not answer|returned no answer|returned an error|not responding|timed out|time-out|timeout|time out|could not be|could not render|could not load|could not display|could not open|could not find|cannot be found|not found|"
-        "has moved|no longer exists|does not exist|was removed|been removed|has expired|expired|typed incorrectly|not available|unavailable|been deleted|token did|your session|too many|is down|temporarily|is currently|offline|undergoing|is under|"
-        "unable to|failed to|connection failed|viewer failed|converter failed|renderer failed|request failed|ran out|crashed|confirm that you|verify that you|prove that you|captcha|checking your|bad request|bad gateway|forbidden|gone|too_many|"
-        "indisponible|introuvable|refusé|interdit|service est|serveur est|demandée|dienst|server|seite|zugriff|servicio|servidor|página|acceso|serviço|acesso|страница|доступ|сервис|сервер|页面|服务|访问|稍后|ページ|アクセス|サービス|しばらく|fehler|erreur|ошибка|erro |错误|エラー|"
-        "this paragraph|this text|this section|this sentence|this line|this placeholder|will appear|will be added|will be inserted|in this space|this is a placeholder|this is placeholder|this is a dummy|this is dummy|this is a sample|this is sample|this is filler|this is an example|this is example|"
-        "your account|your abstract|your text|your title|your summary|your content|your introduction|your paper title|your name|your conclusion|your keywords|to be provided|to be added|to be written|to be supplied|to be inserted|goes here|coming soon|something here|text here|title here|content here|here to edit|to edit|to add|"
-        "institution, city|author name|names here|names go|dummy|sample paragraph|sample text|sample abstract|sample sentence|sample content|placeholder|filler|text follows|follows here|the quick|hier steht|bitte |hier ihr|hier den|hier ein|platzhalter|blindtext|"
-        "saisissez|texte provisoire|faux texte|remplacez|insérez|votre|escriba|inserte|reemplace|sustituya|texto provisional|texto de|texto provis|aquí|escreva|digite|insira|substitua|aqui|замените|здесь|вставьте|введите|текст|填写|替换|输入|占位|插入|ここに|置き換え|書き換え|ダミー|サンプル|"
-        "err_|moving the archive|full text is|allow scripts|turn on|switch on|switched off|aktivieren|einschalten|activer|activez|habilit|ativ|включите|разрешите|启用|开启|打开|允许"
-    ).split("|")
-)
-_ADDRESS_CUES = tuple(
-    (
-        "browser|reload|refresh|try again|again later|go back|help desk|helpdesk|administrator|sign in|login|log in|logged|cookie|scripts|script |scripting|javascript|server|link is broken|broken link|web page|webpage|this page|the page|start page|home page|homepage|search form|"
-        "settings and|support team|contact us|contact support|contact the|quota|unusual activity|request id|incident|rights for|withdrawn|maintenance|temporarily|internal error|instructions|delete this|delete these|placeholder|your |click|captcha|robot before|loading|redirect|expired|"
-        "unavailable|not found|document missing|report this problem|could not be|here are some things|no results|request failed|fatal error|oops|return to the|we apolog|sorry|file may be|check the identifier|plain version|choose your|public view|please |afterwards|not available in|"
-        "search the library|request blocked|will not load|has them| here|skript|seite|interner fehler|erneut|versuchen sie|laden sie|anmelden|melden sie|zugriff|platzhalter|kennung|dienst|ihre|bitte |navigateur|page|serveur|erreur interne|réessay|recharg|connectez|accès|désactiv|votre |"
-        "veuillez|remplac|saisi|navegador|página|servidor|error interno|vuelva|inténtelo|intente|recargue|acceso|desactivad|reemplace|sustituya|por favor|erro interno|tente |recarregue|acesso|desativad|substitua|браузер|страниц|сервер|внутренняя ошибка|повторите|попробуйте|обновите|"
-        "войдите|доступ |скрипт|замените|введите|пожалуйста|浏览器|页面|服务器|内部错误|重试|再试|刷新|登录|访问|脚本|请|ブラウザ|ページ|サーバー|内部エラー|お試し|再読み込み|ログイン|アクセス|スクリプト|ください"
-    ).split("|")
-)
-try:  # one pass for all cues where the library is at hand
-    import ahocorasick
-
-    _AUTOMATON = ahocorasick.Automaton()
-    for _c in dict.fromkeys(_CUES + _ADDRESS_CUES):
-        _AUTOMATON.add_word(_c, (_c in _CUES) + 2 * (_c in _ADDRESS_CUES))
-    _AUTOMATON.make_automaton()
-except ImportError:
-    _AUTOMATON = None
-
-
-def cues(low: str) -> int:
-    """Bit 1: a lower-cased segment has a word that any of the messages has; bit 2: one that speaks to a page's reader."""
-    if _AUTOMATON is None:
-        return any(map(low.__contains__, _CUES)) + 2 * any(map(low.__contains__, _ADDRESS_CUES))
-    got = 0
-    for _, bits in _AUTOMATON.iter(low):
-        got |= bits
-        if got == 3:
-            break
-    return got
-
-
-_CODE = re.compile(r"\b[45]\d\d\b|^\s*at [\w.$]+\(")
+_MESSAGES = [
+    # script notices
+    rf"^(?:\W|please |veuillez |noscript:? ?|warning:? |notice:? |to continue,? |sorry,? )*(?:please )?(?:enable|activate|turn on|switch on|allow)\b.{{0,30}}\b{_SCRIPT}\b",
+    rf"^.{{0,60}}\b(?:you (?:need|have) to|you must|please|if nothing appears,?|kindly) (?:enable|activate|turn on|switch on|allow)\b.{{0,30}}\b{_SCRIPT}\b",
+    rf"^{_SCRIPT}(?: and cookies)? (?:is|are|has to be|have to be|must be|needs? to be|seems? to be|appears? to be|could not be|cannot be|was not)\b.{{0,20}}\b(?:disabled|enabled|needed|required|blocked|switched off|turned off|turned on|allowed|supported|started|accepted|off|activated|available)\b",
+    rf"^(?:this|the|our) (?:site|page|website|app|application|viewer|reader|library|archive|portal|service|article) (?:requires?|needs?|relies on|depends on|uses|only works with|does not work without)\b.{{0,30}}\b{_SCRIPT}\b",
+    rf"^cookies (?:must be|have to be|need to be|are (?:needed|required)|and {_SCRIPT} (?:must|are required|are needed|have to))",
+    rf"^(?:sorry,? )?.{{0,50}}\b(?:cannot|can't|can not|will not|won't|does not|unable to) (?:run|load|work|be shown|be displayed|display|start)\b.{{0,30}}\bwithout {_SCRIPT}",
+    r"^noscript\b",
+    r"^.{0,20}\bjavascript\b.{0,60}\b(aktivieren|einschalten|activer|activez|habilit\w*|activ[ae]\w*|ative|ativar|deaktiviert|désactivé|desactivado|desativado)",
+    r"^.{0,12}\b(aktivieren sie|bitte aktivieren|veuillez activer|activez|habilite|active|ative|habilita)\b.{0,20}\bjavascript",
+    r"^.{0,20}(включите|разрешите|необходимо включить)\b.{0,20}(javascript|скрипт|сценар)|javascript.{0,30}(отключ|включ|требуется)",
+    r"请(启用|开启|打开|允许)\s*(javascript|脚本)|(javascript|脚本)\s*(已禁用|被禁用|未启用|を有効に|が無効|を有効化)|スクリプト.{0,12}(有効|許可)",
+    # error pages
+    r"^(?:\W|http(?:/\d(?:\.\d)?)? ?|error:? ?|fehler:? ?|erreur:? ?|ошибка:? ?|erro:? ?|status:? ?|code:? ?|错误[:：]? ?|エラー:? ?|warning:? ?|fatal:? ?|request failed:? ?|unavailable:? ?)*(?:[45]\d\d)\b\W*(?:not found|forbidden|bad gateway|bad request|unauthori[sz]ed|gone|internal server error|service (?:temporarily )?unavailable|gateway time-?out(?!s)|request time-?out(?!s)|too many requests|$|no se|la página|la page|die (?:seite|angeforderte)|страница|页面|ページ|página|pagina|the |this |no |sorry|access|page|an? |database|your |too |request|security)",
+    r"^err_\w+|^(?:unavailable|forbidden|gone|error|warning|fatal error|request failed|notice)\s+[-–—]\s+\w",
+    r"^(?:\W|sorry\b)*the full text is not available|^we are moving the archive",
+    r"^internal server error\W*$|^(?:oops|whoops|uh-?oh)\b\W|^sorry\s*[-–—:.!]\s",
+    r"^\(?(?:error|http|fehler|erreur|ошибка|erro|status) [45]\d\d\)?\W*$",
+    r"^http/\d(?:\.\d)? [45]\d\d\b",
+    r"^\(?[45]\d\d (?:not found|forbidden|bad gateway|gone|service unavailable|internal server error|gateway time-?out|unauthori[sz]ed|bad request)\)?\.?$",
+    r"^(?:\W|error:? |unavailable:? ?[-–]? ?|warning:? ?[-–]? ?|fatal error:? ?[-–]? ?|request failed:? ?[-–]? ?)*access (?:to this (?:page|document|resource|article) )?(?:is |was |has been )?denied\W*(?:you|$)",
+    r"^.{0,60}\b(?:you do not have permission|you are not authori[sz]ed|your account lacks the rights|you don't have access)\b",
+    r"^(?:\W|sorry,? |oops[,!.]* ?)*(?:something went wrong|an (?:unexpected |unknown |internal )(?:error|condition) (?:has )?(?:occurred|stopped))",
+    r"^(?:\W|request failed:? ?|warning:? ?[-–]? ?)*an unexpected condition stopped",
+    r"^sqlstate\[|^(?:database|mysql|postgres\w*|db) (?:connection )?(?:error|failed|connection failed)|database connection failed",
+    r"^(?:traceback \(most recent call last\)|(?:java|javax|org|com|net)\.[\w.$]+(?:exception|error)\b|exception in thread|fatal error:? ?(?:$|uncaught|call)|segmentation fault|uncaught (?:type|reference|syntax)?error|warning: \w+\(\))",
+    r"^\s*at [\w.$]+\([\w.]+:\d+\)",
+    r"^(?:the )?(?:upstream|search|paper|origin|remote|archive|index|backend|gateway) ?(?:server|index|backend|service)? (?:closed the connection|did not answer|returned no answer|timed out|is not responding|returned an error)",
+    r"^gateway time-?out(?!s)",
+    r"^(?:sorry,? )?(?:the|this) (?:requested )?(?:page|paper|document|article|record|file|resource|item|url|address|link|preprint)(?: you (?:are looking for|asked for|requested))?(?: either)? (?:could not be (?:located|found|loaded)|cannot be found|was not found|has moved|no longer exists|does not exist|was removed|has been removed|has expired|was typed incorrectly|is not available|is unavailable|has been deleted)",
+    r"^(?:\W|sorry,? |warning:? ?[-–]? ?|http \d+ ?[-–]? ?|fatal error ?[-–]? ?)*(?:the address was typed incorrectly|the record you asked for was removed|this link has expired|the security token did not match|your session has (?:expired|timed out)|session expired|too many (?:readers|users|requests|visitors) are connected|too many requests)",
+    r"^(?:this|the|our) (?:preprint |paper |search |web)?(?:server|site|service|archive|system) is (?:temporarily |currently )?(?:down|unavailable|offline|undergoing|under)\b",
+    r"^(?:error:? ?\d*:? ?)?(?:the )?service (?:is )?(?:temporarily|currently) unavailable",
+    r"^(?:we could not (?:render|load|display|open|find)|unable to (?:load|display|render|open|connect)|failed to (?:load|fetch|connect|render)|(?:the )?pdf (?:converter|viewer|renderer) (?:ran out|failed|crashed|could not))",
+    r"^please (?:confirm|verify|prove) that you are (?:not a robot|human|a human)|^(?:complete|solve) the captcha|^checking your browser",
+    r"^(?:institutional )?log ?in required\b|^institutional (?:login|access) required",
+    r"^(?:le (?:service|serveur) est|ce (?:service|serveur) est|la page (?:demandée|que vous)|page introuvable|accès refusé|accès interdit)|la page demandée est introuvable",
+    r"^(?:der (?:dienst|server) ist|dieser (?:dienst|server) ist|die (?:angeforderte )?seite (?:wurde nicht|konnte nicht|ist nicht)|seite nicht gefunden|zugriff verweigert)",
+    r"^(?:el (?:servicio|servidor) (?:no está|está)|(?:la )?página no encontrada|no se encontró la página|acceso denegado|acceso prohibido)|no se encontró la página solicitada",
+    r"^(?:o (?:serviço|servidor) está|página não encontrada|a página (?:solicitada|que)|acesso negado)|página (?:solicitada )?não (?:foi )?encontrada",
+    r"^(?:страница не найдена|доступ (?:запрещ|закрыт)|сервис (?:временно )?недоступен|сервер (?:временно )?недоступен)|запрашиваемая страница не найдена",
+    r"(?:页面(?:不存在|未找到|无法|找不到)|找不到(?:该|您|请求的)?页面|服务(?:暂时)?不可用|访问被拒绝|拒绝访问|无法访问|请稍后(?:再试|重试)|ページが(?:見つか|存在)|アクセスが拒否|サービスは?現在利用|しばらくして(?:から)?(?:もう一度|再度))",
+]
+# Instructions of templates and stock filler: like an unfilled slot, one stands where content should be.
+_INSTRUCTIONS = [
+    r"^(?:please )?(?:replace|overwrite|delete) this (?:paragraph|text|section|sentence|line|placeholder)\b",
+    r"^(?:a |the )?(?:short |brief )?(?:description|summary|abstract|text|content)\b.{0,40}\bwill (?:appear|be added|be inserted|go|follow) (?:in this space|here)",
+    r"^this is (?:a )?(?:placeholder|dummy|sample|filler|example)(?: text| paragraph| content| abstract)?\b",
+    r"^your (?:abstract|text|title|summary|content|introduction|paper title|name|conclusion|keywords) (?:goes|comes|belongs|should go|will appear|here)\b",
+    r"^(?:abstract|text|content|summary|title|section)(?: content| text)? (?:to be (?:provided|added|written|supplied|inserted)|goes here|coming soon)\b",
+    r"^(?:type|write|enter|insert|add|put) (?:something|your \w+|text|the \w+|content) here\b|^click (?:here )?to (?:edit|add)\b",
+    r"^name of the institution, city|^first author name, second author name|^(?:author|authors?) names? (?:here|go here)",
+    r"^(?:dummy|sample|placeholder|filler) (?:paragraph|text|abstract|sentence|abstract text|content)\b.{0,50}(?:\bused to\b|\.$|$)",
+    r"^more text follows here|^text (?:goes |follows )here|^the quick (?:brown|grey|red|white|black) \w+ jumps\b",
+    r"^(?:hier steht (?:ihr|der|dein) text|bitte ersetzen sie|hier (?:ihren?|den) \w+ einf|platzhalter(?:text)?\b)|blindtext blindtext",
+    r"^(?:saisissez ici|texte provisoire|remplacez ce|insérez (?:ici|votre)|votre (?:texte|résumé) ici|faux texte)",
+    r"^(?:escriba aquí|inserte (?:aquí|su)|reemplace este|sustituya este|texto (?:provisional|de relleno|de ejemplo)|aquí va (?:el|su))",
+    r"^(?:escreva aqui|digite aqui|insira (?:aqui|seu|o)|substitua este|texto (?:provisório|de exemplo|de preenchimento)|aqui vai)",
+    r"^(?:замените этот|здесь будет|вставьте (?:сюда|текст)|введите текст|текст-заполнитель|текст заполнитель)",
+    r"(?:此处填写|请替换本段|在此(?:处)?(?:输入|填写|插入)|占位(?:文字|文本|符)|ここに(?:要旨|本文|テキスト|文章|概要)|この段落を(?:置き換え|書き換え)|ダミーテキスト|サンプルテキスト)",
+]
 # Words of pages that speak to their reader. A segment with one of them counts only as a message that recurs across sites.
 _ADDRESS = re.compile(
     r"browser|reload|refresh|try again|again later|go back|help ?desk|administrator|sign in|log ?in\b|logged|cookies?\b|\bscripts?\b|scripting|javascript|\bserver\b|link is broken|broken link|web ?page|this page|the page|start page|home ?page|search form|"
@@ -233,6 +202,90 @@ def masked(segment: str) -> str:
     return re.sub(r"\s+", " ", s).strip(" .!?-–—:;,()[]{}\"'*")
 
 
+def required(tree) -> set[str] | None:
+    """Strings of which any match of a parsed pattern holds at least one, caseless; None if the pattern tells of none."""
+    best, run = None, ""
+
+    def better(found: set[str] | None) -> None:
+        nonlocal best
+        if found and (best is None or min(map(len, found)) > min(map(len, best))):
+            best = found
+
+    for op, arg in [*tree, (None, None)]:
+        if op is sre.LITERAL:
+            run += chr(arg).casefold()
+            continue
+        better({run} if run else None)
+        run = ""
+        if op is sre.BRANCH:
+            parts = [required(b) for b in arg[1]]
+            better(set().union(*parts) if all(parts) else None)
+        elif op is sre.SUBPATTERN:
+            better(required(arg[3]))
+        elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT) and arg[0] > 0:
+            better(required(arg[2]))
+    return best
+
+
+class Rules:
+    """Caseless patterns behind an automaton of the strings they require: each runs only on segments that could match it.
+
+    The strings are derived from the patterns, so nothing that a pattern matches is passed over.
+    """
+
+    def __init__(self, patterns: list[str]) -> None:
+        self.compiled = [re.compile(p, re.I) for p in patterns]
+        self.always, by_string = [], defaultdict(list)
+        for i, p in enumerate(patterns):
+            strings = required(sre_parse(p, re.I))
+            if not strings or min(map(len, strings)) < 2:
+                self.always.append(i)
+            for x in strings or ():
+                by_string[x].append(i)
+        self.by_string = dict(by_string)
+        self.automaton = None
+        if ahocorasick:
+            self.automaton = ahocorasick.Automaton()
+            for x, which in self.by_string.items():
+                self.automaton.add_word(x, tuple(which))
+            self.automaton.make_automaton()
+
+    def possible(self, text: str) -> set[int]:
+        low, found = text.casefold(), set(self.always)
+        for which in (w for _, w in self.automaton.iter(low)) if self.automaton else (w for x, w in self.by_string.items() if x in low):
+            found.update(which)
+        return found
+
+    def first(self, *texts: str) -> re.Match | None:
+        """A match in one of the texts."""
+        for i in self.possible(texts[-1]):
+            for t in texts:
+                if m := self.compiled[i].search(t):
+                    return m
+        return None
+
+
+def branches(pattern: str) -> list[str]:
+    """The alternatives of a pattern outside its groups."""
+    out, depth, start, at = [], 0, 0, 0
+    while at < len(pattern):
+        c = pattern[at]
+        if c == "\\":
+            at += 1
+        elif c == "[":
+            at = pattern.index("]", at + 2)
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+        elif c == "|" and not depth:
+            out.append(pattern[start:at])
+            start = at + 1
+        at += 1
+    return [*out, pattern[start:]]
+
+
+STRONG, INSTRUCTIONS, ADDRESS = (Rules([b for p in some for b in branches(p)]) for some in (_MESSAGES, _INSTRUCTIONS, [_ADDRESS.pattern]))
+
+
 def asks_for_field(inner: str, whole: str = "") -> bool:
     """Whether what stands between the delimiters of a slot is a field name, with or without a request to fill it."""
     s = unicodedata.normalize("NFKD", inner)
@@ -263,7 +316,7 @@ def has_slot(segment: str) -> bool:
     bare = _NUMBERED.sub("", segment) if "[" in segment else segment  # the number of a reference
     if not any(d in bare for d in _DELIMITERS) and not ("(" in bare and _ASKING.search(bare)):
         return False
-    found = [m for m in _SLOTS.finditer(segment) if asks_for_field(next(g for g in m.groups() if g is not None))]
+    found = [m for m in _SLOTS.finditer(segment) if asks_for_field(next(g for g in m.groups() if g is not None))] + list(_SYNTAX.finditer(segment))
     if not found:
         return False
     if _MENTION.search(segment):
@@ -331,46 +384,58 @@ def segments(text: str) -> list[str]:
 
 
 def examine(text: str | None) -> tuple[bool, list[int]]:
-    """Whether a text is residue by itself, and the hashes of its segments that are if they recur across sites."""
+    """Whether a text is residue by itself, and the hashes of its messages, which make it residue if they recur across sites.
+
+    By itself speak unfilled or wrongly filled slots, instructions of templates, filler, and a message of
+    unmistakable wording that has another beside it or is half of its page. A message is hashed masked; one of unmistakable wording also by its opening, as software puts
+    sentences together from parts.
+    """
     if not text or not text.strip():
         return False, []
+    told, size, lines, sure = {}, 0, 0, False
     parts = segments(text)
-    weak = []
     for s in parts:
         if has_slot(s) or is_filler(s):
             return True, []
         bare = _QUOTED.sub(" ", s) if len(s) > 60 else s
         head = bare.lstrip(" \t-–—*•·>#\"'([{")
-        told = cues(bare.lower())
-        # a page without sentence ends is one long segment: a message counts where it opens it
-        find = _STRONG.search if len(head) < 400 else _STRONG.match
-        if (told & 1 or _CODE.search(bare)) and (find(head) or find(bare)):
+        if INSTRUCTIONS.first(head, bare):
             return True, []
-        if told & 2 and 8 < len(s) and _ADDRESS.search(bare) and not _PAPER.search(s) and not _NAMED.search(s) and not _MENTION.search(s):
-            weak.append(xxhash.xxh3_64_intdigest(masked(s)) - (1 << 63))
-    if wrongly_filled(text):
+        if STRONG.first(head, bare):
+            whole = masked(s)
+            ws = whole.split()
+            told[xxhash.xxh3_64_intdigest(whole)] = None
+            if len(ws) > OPENING:
+                told[xxhash.xxh3_64_intdigest(" ".join(ws[:OPENING]) + " ...")] = None
+            size, lines, sure = size + len(s), lines + 1, True
+        elif ADDRESS.first(bare) and not _PAPER.search(s) and not _NAMED.search(s) and not _MENTION.search(s):
+            told[xxhash.xxh3_64_intdigest(masked(s))] = None
+            lines += 1
+    if (sure and (lines > 1 or 2 * size >= sum(map(len, parts)) or 2 * lines >= len(parts))) or wrongly_filled(text):
         return True, []
-    return False, list(dict.fromkeys(weak))
+    return False, [h - (1 << 63) for h in told]
 
 
 def residue(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(doc_id) of the documents that hold template residue, filler, an error-page message or a script notice.
 
-    Segments of all texts are masked, normalised and hashed. Unfilled or wrongly filled slots, filler and
-    unmistakable messages decide by themselves; phrases that could belong to a text decide only as
-    messages that recur word for word over ``SITES`` sites and ``DOCUMENTS`` documents. Slots and messages inside
-    quotation marks or next to words that speak about them are not cases. Null, empty and blank texts
-    and null ids give no row; a null source is a site of its own; equal ids give one row.
+    Segments are masked, normalised, hashed and grouped across sites, and those that recur over ``SITES`` sites and
+    ``DOCUMENTS`` documents are classified by phrase rules. Equal hashes have equal classes, so the
+    classes are told before the grouping, as a filter is pushed below an aggregate: only hashes of possible
+    messages are shuffled. Slots, instructions, filler and pages that are messages for
+    the most part decide by themselves. Slots and messages inside quotation marks or next to words that speak about them are not
+    cases. Null, empty and blank texts and null ids give no row; a null source is a site of its own; equal
+    ids give one row.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [examine(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], pa.bool_()), pa.array([g[1] for g in got], pa.list_(pa.int64())), b.column(2)], ["doc_id", "sure", "weak", "source"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], pa.bool_()), pa.array([g[1] for g in got], pa.list_(pa.int64())), b.column(2)], ["doc_id", "sure", "told", "source"])
 
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"))
-    seen = stage(spread(rows, "doc_id").mapInArrow(run, "doc_id long, sure boolean, weak array<long>, source string").where("sure or size(weak) > 0"))
-    told = seen.where("not sure").select("doc_id", "source", F.explode("weak").alias("h"))
+    seen = stage(spread(rows, "doc_id").mapInArrow(run, "doc_id long, sure boolean, told array<long>, source string").where("sure or size(told) > 0"))
+    told = seen.where("not sure").select("doc_id", "source", F.explode("told").alias("h"))
     # sites and documents that hold a message; distinct pairs first, so that no site or message gathers in one task
     wide = told.groupBy("h", "source").agg(F.count("*").alias("n")).groupBy("h").agg(F.count("*").alias("sites"), F.sum("n").alias("docs")).where((F.col("sites") >= SITES) & (F.col("docs") >= DOCUMENTS))
     by_message = told.join(wide.select("h"), "h", "left_semi").select("doc_id")

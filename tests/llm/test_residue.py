@@ -1,6 +1,6 @@
 import pytest
 
-from quillspark.llm.residue import examine, masked, residue
+from quillspark.llm.residue import ADDRESS, INSTRUCTIONS, STRONG, examine, masked, residue, segments
 
 CASES = [
     "We propose {{ title }}, which lowers the error.",
@@ -79,3 +79,30 @@ def test_long_segments():
     assert examine("404 Not Found " + menu)[0]
     assert not examine(menu + "404 Not Found")[0]
     assert examine("Try again later or contact the administrator of this page " + menu)[1]
+
+
+def test_slots_of_any_name():
+    """Template syntax is recognised whatever the field is called; formulas and code in quotes are not."""
+    for text in ("Funded under {{ grant_number }}.", "[Insert funding statement here]", "Dear {recipient_name}, your paper was received.", "Signed ${chair.of.session}"):
+        assert examine(text)[0], text
+    for text in ("We bound \\frac{x_{ij}}{y_{kl}} by one.", 'Engines expand "{{ grant_number }}" late.', "The set {a_1, b_2} is closed.", "We cite [12] and [Lee et al.]."):
+        assert not examine(text)[0], text
+
+
+def test_gates_pass_over_nothing(spark):
+    """A rule that is skipped because the strings it requires are missing would not have matched."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()
+    extra = ["Please enable JS to continue.", "This page requires JS.", "ſorry - try again", "OOPS!", "Fehler 404: Seite nicht gefunden"]
+    for s in {s for r in rows for s in segments(r.text or "")} | set(extra):
+        for rules in (STRONG, INSTRUCTIONS, ADDRESS):
+            assert bool(rules.first(s)) == any(c.search(s) for c in rules.compiled), s
+    assert all(STRONG.first(s) for s in extra[:2])
+
+
+def test_messages_amid_text_count_where_they_recur(spark):
+    content = "We study the transport of heat in thin films. The gain is large. It holds for all sizes. "
+    one, other = "JavaScript is switched off in this browser for the reading view.", "JavaScript is switched off in this browser, so figures are hidden."
+    rows = [(1, content + one, "a"), (2, content + other, "b"), (3, content + "Error 504 Gateway timeout.", "c"), (4, content, "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert sorted(r.doc_id for r in residue(df).collect()) == [1, 2]  # by their common opening
+    assert residue(df.where("doc_id <> 2")).count() == 0
