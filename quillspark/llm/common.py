@@ -33,6 +33,18 @@ def stage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a dictionary table (venues, sources) that may be gathered and sent to all tasks.
+DICTIONARY_ROWS = 200_000
+
+
+def dictionary(df: DataFrame) -> list[tuple]:
+    """All rows of a dictionary table; an error if it is longer than such a table may be, so that no growing table is broadcast."""
+    rows = [tuple(r) for r in df.limit(DICTIONARY_ROWS + 1).collect()]
+    if len(rows) > DICTIONARY_ROWS:
+        raise ValueError(f"a dictionary table may have {DICTIONARY_ROWS} rows at most")
+    return rows
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Repartition by ``key`` only when the scan has fewer partitions than the cluster has cores."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillspark.llm.common import damerau, fold, stage
+from quillspark.llm.common import damerau, dictionary, fold, stage
 from quillspark.llm.venues import FILLERS, NOTES, WRAPPERS, mapper, shortens, words
 
 # What stands in a venue field without naming a place of publication.
@@ -202,7 +202,7 @@ def field_survivors(records: DataFrame, source_list: DataFrame, venue_list: Data
     Shuffles carry values aggregated per id and value; a group of very many values is sorted and
     streamed through the same alignment.
     """
-    sources = [tuple(r) for r in source_list.select("source_name", F.col("trust_rank").cast("int"), "gives_counts").collect()]
+    sources = dictionary(source_list.select("source_name", F.col("trust_rank").cast("int"), "gives_counts"))
     base = records.where(F.col("arxiv_id").isNotNull() & F.col("record_id").isNotNull()).select(
         "arxiv_id",
         F.col("record_id").cast("long").alias("record_id"),
@@ -250,7 +250,7 @@ def counts(base: DataFrame, sources: list[tuple]) -> DataFrame:
 
 
 def venues(base: DataFrame, venue_list: DataFrame) -> DataFrame:
-    listed = [tuple(r) for r in venue_list.select(F.col("venue_id").cast("long"), "canonical_name", "short_name").collect()]
+    listed = dictionary(venue_list.select(F.col("venue_id").cast("long"), "canonical_name", "short_name"))
     canonical = {r[0]: r[1] for r in listed}
     weight = F.sum(F.pow(F.lit(2.0), (F.col("at") - 1_600_000_000) / 63_072_000.0) / (1 + F.coalesce("rank", F.lit(50))))
     typed = base.groupBy("arxiv_id", "venue").agg(F.count("*").alias("n"), F.min("record_id").alias("first"), F.max("at").alias("at"), F.min(F.coalesce("rank", F.lit(99))).alias("rank"), weight.alias("weight"))

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import damerau, deletes, fold
+from quillspark.llm.common import damerau, deletes, dictionary, fold
 
 # Words that carry no meaning in a venue's name, wrappers around names, and words of volume or page notes.
 FILLERS = frozenset("of on in for the and a an at to s".split())
@@ -48,6 +48,49 @@ def edits(n: int) -> int:
     return 0 if n < 4 else 1 if n < 5 else 2 if n < 10 else 3
 
 
+# The rows of letters of a keyboard, neighbours beside each other.
+KEYS = ("qwertyuiop", "asdfghjkl", "zxcvbnm")
+_PLACE = {c: (r, i + 0.5 * r) for r, row in enumerate(KEYS) for i, c in enumerate(row)}
+_VOWELS = frozenset("aeiouy")
+
+
+def swap_cost(x: str, y: str) -> float:
+    """Cost of typing one letter for another: less for keys side by side, and for vowels, which are confused by ear."""
+    p, q = _PLACE.get(x), _PLACE.get(y)
+    if p and q and abs(p[0] - q[0]) <= 1 and abs(p[1] - q[1]) <= 1:
+        return 0.8
+    return 0.85 if x in _VOWELS and y in _VOWELS else 1.0
+
+
+def weighted_damerau(a: str, b: str) -> float:
+    """Restricted Damerau-Levenshtein distance with costs by the kind of slip.
+
+    Letters changed places cost 0.7; a letter typed twice or once too few, 0.7; a neighbouring key 0.8; a vowel for a
+    vowel 0.85; anything else 1; a slip in the first letter, which is rarely mistyped, 0.8 more.
+    """
+    la, lb = len(a), len(b)
+
+    def at(k: int) -> float:
+        return 0.8 if k == 0 else 0.0
+
+    d = [[0.0] * (lb + 1) for _ in range(la + 1)]
+    for i in range(1, la + 1):
+        d[i][0] = d[i - 1][0] + 1.0 + at(i - 1)
+    for j in range(1, lb + 1):
+        d[0][j] = d[0][j - 1] + 1.0 + at(j - 1)
+    for i in range(1, la + 1):
+        for j in range(1, lb + 1):
+            x, y = a[i - 1], b[j - 1]
+            first = at(min(i, j) - 1)
+            best = d[i - 1][j - 1] + (0.0 if x == y else swap_cost(x, y) + first)
+            best = min(best, d[i - 1][j] + (0.7 if i > 1 and x == a[i - 2] else 1.0) + first * (x != y))
+            best = min(best, d[i][j - 1] + (0.7 if j > 1 and y == b[j - 2] else 1.0) + first * (x != y))
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                best = min(best, d[i - 2][j - 2] + 0.7 + at(min(i, j) - 2))
+            d[i][j] = best
+    return d[la][lb]
+
+
 class VenueIndex:
     """Symmetric-delete dictionary over the words of the canonical names.
 
@@ -69,6 +112,7 @@ class VenueIndex:
                     self.by_word[w].add(i)
             if short and short.strip():
                 self.short["".join(words(short))] = i
+        self.longest = max(map(len, self.by_word), default=0)
         self.near: dict[str, set[str]] = defaultdict(set)
         for w in self.by_word:
             for d in deletes(w, edits(len(w))):
@@ -91,12 +135,12 @@ class VenueIndex:
         if token in self.by_word:
             got[token] = 0.0
         bound = edits(len(token) + 1)
-        for d in deletes(token, bound) if bound and len(token) <= 40 else ():
+        for d in deletes(token, bound) if bound and len(token) <= self.longest + bound else ():  # a longer one is near none
             for w in self.near.get(d, ()):
                 if w not in got:
                     k = damerau(token, w, min(bound, edits(len(w))))
                     if k <= min(bound, edits(len(w))):
-                        got[w] = 0.6 * k + (0.5 if token[0] != w[0] else 0.0)
+                        got[w] = 0.6 * weighted_damerau(token, w)
         for w in self.first.get(token[0], ()):
             if w not in got and shortens(token, w):
                 got[w] = 0.25 if w.startswith(token) else 0.35
@@ -186,7 +230,7 @@ def map_venues(records: DataFrame, venue_list: DataFrame, key: str = "record_id"
     shuffle. Ties left by cost go to the entry that is at least twenty times as frequent, otherwise
     the value is reported as unmatched. Repeated rows stay; an empty list maps everything to 0.
     """
-    rows = [tuple(r) for r in venue_list.select(F.col("venue_id").cast("long"), "canonical_name", "short_name").collect()]
+    rows = dictionary(venue_list.select(F.col("venue_id").cast("long"), "canonical_name", "short_name"))
     values = records.select(F.col(key).cast("long").alias("record_id"), F.col(column).alias("venue")).where(~blank(F.col("venue")))
     names = {r[1]: r[0] for r in rows if r[1]}
     counts = values.where(F.col("venue").isin(list(names))).groupBy("venue").agg(F.count("*").alias("n")).collect() if names else []

@@ -1,6 +1,6 @@
 import pytest
 
-from quillspark.llm.venues import VenueIndex, map_venues
+from quillspark.llm.venues import VenueIndex, map_venues, weighted_damerau
 
 ROWS = [(1, "International Conference on Xeric Retrieval", None), (2, "Advances in Meridian Simulation", "AMSI"), (3, "Annals of Thermal Genomics", "ATGEN"), (4, "Archives of Thermal Genomics", None), (5, "Granular Simulation Letters", "GSLET")]
 INDEX = VenueIndex(ROWS)
@@ -51,3 +51,14 @@ def test_table(spark):
     assert got == [(1, 2), (5, 0), (5, 0), (6, 3)]
     assert map_venues(records, venues.where("false")).where("venue_id <> 0").count() == 0
     assert map_venues(records.where("false"), venues).count() == 0
+
+
+def test_weights_of_slips():
+    """Swapped and doubled letters and neighbouring keys cost less than other slips, first letters more."""
+    assert weighted_damerau("thermal", "thermal") == 0
+    assert weighted_damerau("thremal", "thermal") == weighted_damerau("therrmal", "thermal") == pytest.approx(0.7)
+    assert weighted_damerau("thernal", "thermal") == pytest.approx(0.8) and weighted_damerau("thermel", "thermal") == pytest.approx(0.85)
+    assert weighted_damerau("thertal", "thermal") == weighted_damerau("theral", "thermal") == 1.0
+    assert weighted_damerau("xhermal", "thermal") == pytest.approx(1.8)
+    index = VenueIndex([(1, "Journal of Mapping", None), (2, "Journal of Napping", None)])
+    assert index.lookup("Journal of Mappnig") == 1 and index.lookup("Journal of Nappign") == 2
