@@ -66,12 +66,12 @@ def weighted_damerau(a: str, b: str) -> float:
     """Restricted Damerau-Levenshtein distance with costs by the kind of slip.
 
     Letters changed places cost 0.7; a letter typed twice or once too few, 0.7; a neighbouring key 0.8; a vowel for a
-    vowel 0.85; anything else 1; a slip in the first letter, which is rarely mistyped, 0.8 more.
+    vowel 0.85; anything else 1; a slip in the first letter, which is rarely mistyped, 0.6 more.
     """
     la, lb = len(a), len(b)
 
     def at(k: int) -> float:
-        return 0.8 if k == 0 else 0.0
+        return 0.6 if k == 0 else 0.0
 
     d = [[0.0] * (lb + 1) for _ in range(la + 1)]
     for i in range(1, la + 1):
