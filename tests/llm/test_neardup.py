@@ -53,3 +53,39 @@ def test_hot_band_is_tiled(spark):
 
 def test_empty(spark):
     assert N.near_pairs(spark.createDataFrame([], "arxiv_id string, abstract string")).count() == 0
+
+
+def test_recall_of_the_bands_near_the_threshold():
+    """Of sets that share 0.65 to 0.75 of their words, at least 98 of 100 meet in a band and lie within the radius."""
+    r = np.random.default_rng(2)
+    for share, least in ((0.65, 0.97), (0.66, 0.98), (0.7, 0.99), (0.75, 0.999)):
+        n, met, near = 100, 0, 0
+        both = round(share * n)
+        sets = []
+        for _ in range(300):
+            pool = r.integers(0, 1 << 32, n, dtype=np.uint64).astype(np.uint32)
+            own = (n - both) // 2
+            sets += [np.unique(pool[: both + own]), np.unique(np.r_[pool[:both], pool[both + own :]])]
+        sig = N.signatures(sets)
+        bands = sig.reshape(len(sig), N.BANDS, N.ROWS)
+        met = (bands[::2] == bands[1::2]).all(axis=2).any(axis=1)
+        marks = N.fingerprints(sig)
+        near = N.within(marks[::2], marks[1::2])
+        assert near.all() and met.mean() >= least, (share, met.mean())
+
+
+def test_titles_count(spark):
+    """Words of titles count with those of abstracts; a title alone is no text."""
+    base = [f"w{i}" for i in range(20)]
+    rows = [("a", "one two three four", " ".join(base)), ("b", "one two three four", " ".join(base[:16] + ["x1", "x2", "x3", "x4"])), ("c", None, " ".join(base[:16] + ["y1", "y2", "y3", "y4"])), ("d", "one two three four", None), ("e", "one two three four", " ")]
+    df = spark.createDataFrame(rows, "arxiv_id string, title string, abstract string")
+    assert {tuple(r) for r in N.near_pairs(df).collect()} == {("a", "b")}  # 20 of 28 words; of the abstracts alone 16 of 24
+
+
+def test_vertical_planes_move():
+    r = np.random.default_rng(1)
+    bits = r.integers(0, 256, (300, 8), dtype=np.uint8)
+    planes, words = N.vertical(bits), np.arange(5)
+    for s in (1, 63, 64, 65, 130, 299):
+        want = N.vertical(np.r_[bits[s:], np.zeros((s, 8), np.uint8)])
+        assert (N.moved(planes, s, words) == want).all()
