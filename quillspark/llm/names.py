@@ -218,15 +218,74 @@ def initial_strings(given: str, middle: str) -> set[str]:
     return heads | {h + middle for h in heads} if middle else heads
 
 
-def same_given(a: str, b: str, ca: int, cb: int) -> bool:
-    """Equal, a familiar form, or a misspelling: few edits, and one goes with far fewer surnames than the other."""
+#: Costs of pairing words of names: a familiar form, an initial, a misspelling, a word that the other spelling leaves out. A
+#: person may differ by one misspelling, or by a familiar form, and by words left out.
+FAMILIAR, INITIAL, SLIP, OMITTED, PERSON = 0.3, 0.2, 0.5, 0.1, 0.8
+
+
+def given_cost(a: str, b: str, ca: int, cb: int) -> float | None:
+    """Cost of reading two given names, which go with ``ca`` and ``cb`` surnames, as one; None if they are two.
+
+    A misspelling has few edits, and goes with far fewer surnames than the right form.
+    """
     x, y = a.replace("-", ""), b.replace("-", "")
-    if x == y or y in NICKNAMES.get(x, ()) or x in NICKNAMES.get(y, ()):
-        return True
+    if x == y:
+        return 0.0
+    if y in NICKNAMES.get(x, ()) or x in NICKNAMES.get(y, ()):
+        return FAMILIAR
     if min(ca, cb) > RARE * max(ca, cb):
-        return False
+        return None
     bound = 1 if min(len(x), len(y)) < 6 else 2
-    return damerau(x, y, bound) <= bound
+    return SLIP if damerau(x, y, bound) <= bound else None
+
+
+class Token(NamedTuple):
+    """A word of a person's name. ``role``: s (surname with its particle), g (given name), i (initial of it), m (middle initial)."""
+
+    role: str
+    text: str
+    uses: int = 0
+    extra: str = ""
+
+
+def person_tokens(m: tuple) -> tuple[Token, ...]:
+    """The words of a spelling (name, kind, surname, particle, given, initials, middle, ...): surname, given name or initial, middle initial."""
+    out = [Token("s", m[2], 0, m[3])]
+    if m[4]:
+        out.append(Token("g", m[4], m[8]))
+        if m[6]:
+            out.append(Token("m", m[6][0]))
+    elif m[5]:
+        out.append(Token("i", m[5]))
+    return tuple(out)
+
+
+def person_cost(x: Token, y: Token) -> float | None:
+    """Cost of pairing two words of persons' names, None if they are no partners; an empty word stands for one left out."""
+    if not x.role or not y.role:
+        return OMITTED if (x.role or y.role) == "m" else None
+    if x.role == "s" == y.role:
+        if x.extra != y.extra:
+            return None
+        if x.text == y.text:
+            return 0.0
+        return SLIP if min(len(x.text), len(y.text)) > 4 and damerau(x.text, y.text, 1) <= 1 else None
+    if x.role == "g" == y.role:
+        return given_cost(x.text, y.text, x.uses, y.uses)
+    if x.role == y.role:
+        return 0.0 if x.text == y.text else None
+    first, other = (x, y) if x.role == "i" else (y, x)
+    if first.role == "i" and other.role == "g":
+        return INITIAL if any(first.text.startswith(h) for h in initial_strings(other.text, "")) else None
+    return None
+
+
+def same_person(a: tuple, b: tuple) -> bool:
+    """Whether two spellings are one person by the optimal assignment of their words: one slip, a familiar form or an initial at most."""
+    x, y = person_tokens(a), person_tokens(b)
+    n = max(len(x), len(y))
+    cost = assigned(x + (Token("", ""),) * (n - len(x)), y + (Token("", ""),) * (n - len(y)), person_cost)
+    return cost is not None and cost < PERSON
 
 
 @lru_cache(200_000)
@@ -241,27 +300,30 @@ def token_cost(x: str, y: str) -> float | None:
     return 0.5 * d if d <= bound and min(len(x), len(y)) > 3 else None
 
 
-def assigned(a: tuple[str, ...], b: tuple[str, ...]) -> float | None:
+def assigned(a: tuple, b: tuple, cost=None) -> float | None:
     """Least cost of an optimal one-to-one assignment of two token lists, None if a token finds no partner.
 
-    A token pairs with its equal (0), its abbreviation (0.3) or a misspelling of one or two letters (0.5 each). A dynamic
-    programme over the sets of used tokens finds the optimum of short lists, the Hungarian method that of longer ones.
+    A word of an organisation pairs with its equal (0), its abbreviation (0.3) or a misspelling of one or two letters
+    (0.5 each); ``person_cost`` tells what pairs in names of persons. A dynamic programme over the sets of used
+    tokens finds the optimum of short lists, the Hungarian method that of longer ones.
     """
-    if len(a) == len(b) and sorted(a) == sorted(b):
-        return 0.0
-    if len(a) != len(b):
-        a, b = spelled_out(a, b), spelled_out(b, a)
+    if cost is None:
+        cost = token_cost
+        if len(a) == len(b) and sorted(a) == sorted(b):
+            return 0.0
+        if len(a) != len(b):
+            a, b = spelled_out(a, b), spelled_out(b, a)
     if len(a) != len(b):
         return None
     if len(a) > 10:
-        return hungarian([[token_cost(x, y) for y in b] for x in a])
+        return hungarian([[cost(x, y) for y in b] for x in a])
 
     best: dict[int, float] = {0: 0.0}
     for x in a:
         step: dict[int, float] = {}
         for used, c in best.items():
             for j, y in enumerate(b):
-                if not used >> j & 1 and (k := token_cost(x, y)) is not None and c + k < step.get(used | 1 << j, 1e9):
+                if not used >> j & 1 and (k := cost(x, y)) is not None and c + k < step.get(used | 1 << j, 1e9):
                     step[used | 1 << j] = c + k
         best = step
     return min(best.values(), default=None)
@@ -458,6 +520,7 @@ def link_block(rows: list[tuple]) -> list[set[str]]:
         if not same:
             near = [s for s, p in surnames if p == particle and damerau(s, sur, 1) <= 1]
             same = set().union(*[told.get((s, particle, h), ()) for s in near for h in (ini, ini[:-1] + "*")])
+        same = {i for i in same if any(same_person(members[0], m) for m in kept[i] if m[4])}
         if len(same) == 1:
             kept[min(same)].extend(members)
         elif not same:
@@ -466,30 +529,14 @@ def link_block(rows: list[tuple]) -> list[set[str]]:
     return [c for c in out if len(c) > 1]
 
 
-def fits_initials(ini: str, m: tuple) -> bool:
-    """Whether initials can stand for a spelled-out member; a middle initial it lacks is no contradiction."""
-    if not m[4]:
-        return False
-    if ini in initial_strings(m[4], m[6][:1]):
-        return True
-    return not m[6] and any(ini.startswith(h) and len(ini) == len(h) + 1 for h in initial_strings(m[4], ""))
-
-
 def one_person(a: list[tuple], b: list[tuple]) -> bool:
-    """Whether two clusters of spelled-out names are one person: misspelt in the given name or in the surname, not in both, no middle initials apart."""
+    """Whether two clusters of spelled-out names are one person: no middle initials apart, and a form of one assigned to a form of the other."""
     mx, my = {m[6][0] for m in a if m[6]}, {m[6][0] for m in b if m[6]}
     if mx and my and not mx & my:
         return False
     x, forms = a[0], {(m[2], m[3], m[4]): m for m in b if m[4]}
-    for y in forms.values():
-        if x[3] != y[3]:
-            continue
-        if x[2] == y[2]:
-            if same_given(x[4], y[4], x[8], y[8]):
-                return True
-        elif x[4].replace("-", "") == y[4].replace("-", "") and damerau(x[2], y[2], 1) <= 1 and min(len(x[2]), len(y[2])) > 4:
-            return True
-    return False
+    # a form that differs in both names is none, whatever the assignment would cost
+    return any(same_person(x[:6] + ("",) + x[7:], y[:6] + ("",) + y[7:]) for y in forms.values() if x[2] == y[2] or x[4].replace("-", "") == y[4].replace("-", ""))
 
 
 def spellings(papers: DataFrame, column: str = "authors") -> DataFrame:
@@ -516,7 +563,7 @@ def name_pairs(papers: DataFrame, column: str = "authors") -> DataFrame:
 
     Rows: exact strings of the lists, whatever their case or spacing. Names without letters are linked
     to none. A spelling by initials that fits several people stays alone, as does a name that could be
-    a misspelling of two others. Result pairs are closed over a shared spelling.
+    a misspelling of two others. Result pairs are all pairs of a connected component of the links.
 
     Spellings meet in blocks of (a string left of the surname by at most one deletion, a letter the
     given name may begin with); of organisations, any of their words takes the surname's
@@ -570,8 +617,8 @@ def name_pairs(papers: DataFrame, column: str = "authors") -> DataFrame:
             new = []
             if len(held) > 1:
                 for c in link_block(held):
-                    s = sorted(c)
-                    new += [(a, b) for i, a in enumerate(s) for b in s[i + 1 :]]
+                    least = min(c)
+                    new += [(least, b) for b in c if b != least]
             return new
 
         for b in batches:
@@ -589,7 +636,23 @@ def name_pairs(papers: DataFrame, column: str = "authors") -> DataFrame:
         out = emit()
         yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.string()), pa.array([p[1] for p in out], pa.string())], ["name_a", "name_b"])
 
-    pairs = stage(placed.repartition("key").sortWithinPartitions("key").mapInArrow(sweep, "name_a string, name_b string").distinct())
-    both = pairs.unionByName(pairs.select(F.col("name_b").alias("name_a"), F.col("name_a").alias("name_b")))
-    hops = both.select(F.col("name_a").alias("x"), F.col("name_b").alias("y")).join(both.select(F.col("name_a").alias("y"), F.col("name_b").alias("z")), "y").where("x < z").select(F.col("x").alias("name_a"), F.col("z").alias("name_b"))
-    return pairs.unionByName(hops).distinct()
+    links = stage(placed.repartition("key").sortWithinPartitions("key").mapInArrow(sweep, "name_a string, name_b string").distinct())
+    member = components(links)
+    one, other = member.select("root", F.col("name").alias("name_a")), member.select("root", F.col("name").alias("name_b"))
+    return one.join(other, "root").where("name_a < name_b").select("name_a", "name_b")
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(name, root): the smallest name of each connected component of links (name_a, name_b).
+
+    Every name takes the smallest label among its neighbours' until none changes; as blocks emit stars around
+    their smallest name, few rounds suffice. Labels stay in tables of the shared folder.
+    """
+    edges = links.unionByName(links.select(F.col("name_b").alias("name_a"), F.col("name_a").alias("name_b")))
+    labels = stage(edges.groupBy(F.col("name_a").alias("name")).agg(F.least("name", F.min("name_b")).alias("root")))
+    while True:
+        heard = edges.join(labels.select(F.col("name").alias("name_b"), "root"), "name_b").groupBy(F.col("name_a").alias("name")).agg(F.min("root").alias("heard"))
+        moved = stage(labels.join(heard, "name").select("name", F.least("root", "heard").alias("root"), (F.col("heard") < F.col("root")).alias("changed")))
+        labels = moved.select("name", "root")
+        if moved.where("changed").isEmpty():
+            return labels

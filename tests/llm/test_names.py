@@ -89,3 +89,38 @@ def test_organisations_without_caps(spark):
     got = pairs(spark, [*crowd, [long, long.upper(), turned], [a, b], *[[f"{x} Working Group Collaboration Alliance"] for x in ("Tamer", "Jolvin", "Derel", "Sesol")], ["OM Xi", "Ocean Flow Team", "Ocean Tide Team", "Model Flow Team", "Model Tide Team"]])
     assert (a, b) in got or (b, a) in got
     assert {tuple(sorted(x)) for x in ((long, long.upper()), (long, turned))} <= got
+
+
+def spelling(typed, uses=5):
+    p = parse(typed)
+    return (typed, p.kind, p.surname, p.particle, p.given, p.initials, p.middle, p.tokens, uses, 1)
+
+
+@pytest.mark.parametrize(
+    "a, b, same",
+    [
+        ("Matthew B. Grenlow", "Grenlow, Matt", True),  # a familiar form, and a word left out
+        ("Matthew Grenlow", "M. B. Grenlow", True),
+        ("Matthew B. Grenlow", "Matthew C. Grenlow", False),
+        ("Matthew Grenlow", "Matthew Grennlow", True),
+        ("Matthew Grenlow", "Matt Grennlow", False),  # a familiar form and a slip are too much
+        ("Matthew Grenlow", "Matthew van Grenlow", False),
+        ("Matthew Grenlow", "Marta Grenlow", False),
+        ("A. Grenlow", "Matthew Grenlow", False),
+    ],
+)
+def test_persons_are_assigned_word_by_word(a, b, same):
+    assert N.same_person(spelling(a), spelling(b)) is same is N.same_person(spelling(b), spelling(a))
+
+
+def test_misspelt_given_names_are_rare_ones():
+    assert N.same_person(spelling("Mathew Grenlow", 1), spelling("Matthew Grenlow", 9))
+    assert not N.same_person(spelling("Marie Grenlow", 8), spelling("Maria Grenlow", 9))
+
+
+def test_components(spark):
+    """Chains longer than a hop, cycles and separate parts."""
+    links = [(f"n{i}", f"n{i + 1}") for i in range(9)] + [("x", "y"), ("y", "z"), ("x", "z")]
+    got = {r.name: r.root for r in N.components(spark.createDataFrame(links, "name_a string, name_b string")).collect()}
+    assert got == {f"n{i}": "n0" for i in range(10)} | {"x": "x", "y": "x", "z": "x"}
+    assert N.components(spark.createDataFrame([], "name_a string, name_b string")).count() == 0
