@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import math
 import re
-from array import array
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -32,6 +30,8 @@ SOURCE_ALIASES = {"s2": "semanticscholar", "arxivorg": "arxiv"}
 IMPOSSIBLE = 5_000_000
 #: A group's distinct values of a field are collected into one row up to this many, and streamed in sorted order beyond.
 GROUP_VALUES = 256
+#: Votes of a listed name, in those of the heaviest typed value: few values that agree among themselves outvote it.
+LISTED = 2.0
 
 Profile = list[dict[str, float]]
 
@@ -42,6 +42,16 @@ def names_place(value: str) -> bool:
     return bool(ws) and " ".join(ws) not in REMARKS and not (ws[0] in ("submitted", "arxiv") and len(ws) < 4)
 
 
+@lru_cache(200_000)
+def unlisted(value: str) -> int:
+    """A negative number for the place that a value outside the list names, by the letter its first word of content starts with.
+
+    Cut, abbreviated and misspelt forms of one name keep that letter; two places of one group seldom share it.
+    """
+    heads = [w[0] for w in words(value) if w not in FILLERS and w not in WRAPPERS and w not in NOTES and not any(c.isdigit() for c in w)]
+    return -1 - ord(heads[0]) if heads else -1
+
+
 @lru_cache(200_000)
 def likeness(a: str, b: str) -> float:
     """Similarity of two tokens in 0..1: equal letters, abbreviation, or few edits."""
@@ -190,13 +200,13 @@ def source_rank(rows: list[tuple], column: F.Column) -> F.Column:
 def field_survivors(records: DataFrame, source_list: DataFrame, venue_list: DataFrame) -> DataFrame:
     """(arxiv_id, field, record_id) of the surviving venue, citation_count and source of each group of two or more rows.
 
-    Every field is settled by a token-level consensus. Source and count are single tokens, so the
-    vote is an aggregate: the source of the best trust rank wins, and of the counts the latest
-    fetched among those that can be genuine (a listed source that reports counts, or an unlisted
-    one; positive; below five million; not the paper's year, the year with a digit, or thousands
-    out of proportion); a zero survives only where no positive count does. Venues are settled in
-    two steps: the place that is backed most recently and by the most trusted source, then the
-    consensus of the values that mean this place. Null ids form no group. A field without a usable
+    Venues are settled in two steps: the place that is backed most recently and by the most trusted
+    source, then the token-level consensus of the values that mean this place; places outside the list are told
+    apart by their first letters. The other fields hold one token, so nothing is to be aligned, and their vote is
+    ranked: of sources the best trust rank wins, of counts the latest fetched among those that can be
+    genuine (a listed source that reports counts, or an unlisted one; positive; below five million;
+    not the paper's year, the year with a digit, or thousands out of proportion); a zero survives
+    only where no positive count does. Null ids form no group. A field without a usable
     value gives no row. Equal values are told apart by the smallest record_id. Extra columns are ignored.
 
     Shuffles carry values aggregated per id and value; a group of very many values is sorted and
@@ -276,12 +286,13 @@ def venues(base: DataFrame, venue_list: DataFrame) -> DataFrame:
         held: list[pa.RecordBatch] = []
         for ids in lookup(pairs()):
             b = held.pop()
-            vid = ids.column(1).fill_null(0)
-            named = pa.array([i > 0 or place(v) for i, v in zip(vid.to_pylist(), b.column("venue").to_pylist())], pa.bool_())
-            yield pa.RecordBatch.from_arrays([*b.columns, vid, named], [*b.schema.names, "place", "named"])
+            vid = ids.column(1).fill_null(0).to_pylist()
+            named = [i > 0 or place(v) for i, v in zip(vid, b.column("venue").to_pylist())]
+            told = [i if i > 0 else unlisted(v) if n else None for i, n, v in zip(vid, named, b.column("venue").to_pylist())]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(told, pa.int64())], [*b.schema.names, "place"])
 
-    schema = "arxiv_id string, venue string, n long, first long, at long, rank int, weight double, place long, named boolean"
-    value = stage(typed.mapInArrow(read, schema).withColumn("place", F.when(F.col("named"), F.col("place"))).drop("named"))
+    schema = "arxiv_id string, venue string, n long, first long, at long, rank int, weight double, place long"
+    value = stage(typed.mapInArrow(read, schema))
     per = value.groupBy("arxiv_id", "place").agg(F.sum("n").alias("n"), F.max("at").alias("at"), F.min("rank").alias("rank"), F.count("*").alias("k"))
     w = Window.partitionBy("arxiv_id")
     named = F.col("place").isNotNull()
@@ -341,9 +352,13 @@ def nearest(canonical: dict[int, str | None]):
     return run
 
 
-def voters(values: list[tuple[str, float]], name: str | None, weights: Iterable[float] | None = None) -> list[tuple[str, float]]:
-    """The typed values and, for a listed place, its canonical name with four times the weight of them all."""
-    return values + [(name, 4 * math.fsum((w for _, w in values) if weights is None else weights))] if name else values
+def voters(values: list[tuple[str, float]], name: str | None, heaviest: float | None = None) -> list[tuple[str, float]]:
+    """The typed values and, for a listed place, its canonical name as one more voter, which weighs ``LISTED`` times as much as the heaviest value.
+
+    The list tells how the name is written, yet values that agree among themselves outvote it.
+    """
+    top = max((w for _, w in values), default=0.0) if heaviest is None else heaviest
+    return values + [(name, LISTED * top)] if name else values
 
 
 def by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, Iterator[dict]]]:
@@ -369,14 +384,14 @@ def settle_hot(rows: DataFrame, canonical: dict[int, str | None]) -> DataFrame:
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[dict] = []
         for (group, place), values in by_group(batches):
-            weights = array("d")
+            heaviest = 0.0
             for x in uncut(values):
-                weights.append(x["weight"])
+                heaviest = max(heaviest, x["weight"])
                 out.append(x | {"turn": turn(x["venue"], x["weight"])})
                 if len(out) == 10_000:
                     yield pa.RecordBatch.from_pylist(out, types)
                     out.clear()
-            for told in voters([], canonical.get(place), weights):  # the canonical name votes, but is no record's value
+            for told in voters([], canonical.get(place), heaviest):  # the canonical name votes, but is no record's value
                 out.append({"arxiv_id": group, "place": place, "venue": told[0], "weight": told[1], "first": None, "turn": turn(*told)})
         yield pa.RecordBatch.from_pylist(out, types)
 

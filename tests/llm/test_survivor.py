@@ -90,3 +90,18 @@ def test_both_ways_choose_the_same_record(spark, monkeypatch):
     few = run(spark, rows)
     monkeypatch.setattr(S, "GROUP_VALUES", 1)
     assert run(spark, rows) == few and few[("b", "venue")] == 21
+
+
+def test_values_that_agree_outvote_the_list():
+    """The list's name is one voter: a single value's extra word is not taken over, that of several is."""
+    name, longer = "Annals of Thermal Genomics", "Annals of Applied Thermal Genomics"
+    one = S.consensus(S.profile(S.voters([(longer, 1.0)], name)))
+    many = S.consensus(S.profile(S.voters([(longer, 1.0), (longer + " 2019", 1.0), (longer.upper(), 1.0)], name)))
+    assert one == name.split() and many == longer.split()
+
+
+def test_places_outside_the_list_are_told_apart(spark):
+    """Two unlisted places of one group are not mixed: the more recent and trusted one wins, by its best written value."""
+    rows = [(1, "a", "Forum for Ivory Hydrology", None, "Web Crawl", 1), (2, "a", "Forum for Ivory Hydrology", None, "Web Crawl", 2), (3, "a", "Velvet Ontology Roundtab", None, "Publisher Feed", 8), (4, "a", "Velvet Ontology Roundtable", None, "Publisher Feed", 9)]
+    assert run(spark, rows)[("a", "venue")] == 4
+    assert S.unlisted("Forum for Iv") == S.unlisted("Frm. for Ivory Hydrol. 12") != S.unlisted("Velvet Ontology")
