@@ -112,10 +112,10 @@ class Alignment:
 
 
 def shape(token: str) -> float:
-    """How well a token is written: capitalised or short lower-case words count in full, notes and numbers little."""
+    """How well a token is written: capitalised or short lower-case words count in full, notes and numbers not at all, however many values have them."""
     bare = fold(token).strip(".,;:\"'()<>/")
     if not bare or bare in NOTES or bare in WRAPPERS or any(c.isdigit() for c in bare):
-        return 0.1
+        return 0.0
     if not token.replace("-", "").replace("'", "").isalpha():
         return 0.3
     if token[0].isupper() and (len(token) == 1 or token[1:].islower()):
