@@ -105,4 +105,5 @@ QUALITY_WEIGHTS = {
 RECENCY_BONUS, RECENCY_DAYS, FRESH_DAYS = 15.0, 30, 5
 WINDOW_DAYS = {"Last 3 Days": 3, "Last Week": 7, "Last Month": 30, "Last 3 Months": 90}
 STAGE_MARKERS = [("Stage 4", 3), ("Cross-Encoder", 3), ("Stage 3", 3), ("MiniLM Stage 2", 2), ("SPECTER2", 2), ("Stage 2", 2), ("RRF Stage 1", 1), ("LanceDB unavailable", 1), ("Stage 1", 1), ("Stage 0", 1)]
+PROVIDERS = ["openai", "gemini", "groq", "free", "anthropic", "openrouter", "ollama_local", "ollama_cloud"]
 STAGES = ["Fetch & Filter", "Hybrid Retrieval", "Semantic Rerank", "Precision Rerank", "Classify", "Impact Score", "Summarize"]

@@ -40,9 +40,9 @@ def too_new(citations: Column, day: Column, as_of: str) -> Column:
     return (F.coalesce(citations, F.lit(0)) <= 0) & (age_days(day, as_of) <= V.FRESH_DAYS)
 
 
-def impact(title: Column, citations: Column, day: Column, utility: Column, as_of: str, quality: str = "any") -> Column:
+def impact(title: Column, citations: Column, day: Column, utility: Column, as_of: str, quality: str = "any", learned: dict[str, float] | None = None) -> Column:
     """Weighted sum of fame, hype, niche penalty and utility; -1 for papers too new to rate."""
-    w = weights(quality)
+    w = weights(quality, learned)
     total = fame(citations) * w["fame"] + hype(title) * w["hype"] + sniper(title) * w["sniper"] + utility * w["utility"]
     if quality == "recent":
         total = total + recency(day, as_of) * V.RECENCY_BONUS

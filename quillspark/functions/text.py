@@ -110,6 +110,23 @@ def not_terms(c: Column) -> Column:
     return F.slice(F.array_distinct(F.filter(clean, lambda x: F.length(x) > 3)), 1, 10)
 
 
+def clean_secret(c: Column) -> Column:
+    """A setting without white space and quotes around it."""
+    return F.regexp_replace(F.trim(c), "^[\"']+|[\"']+$", "")
+
+
+def grounded(value: Column, text: Column) -> Column:
+    """Whether a word of three letters or more of a value occurs in a text, letter case aside."""
+    ws = F.filter(F.split(F.lower(value), "[^0-9a-z]+"), lambda w: F.length(w) >= 3)
+    return F.coalesce(F.exists(ws, lambda w: F.contains(F.lower(text), w)), F.lit(False))
+
+
+def union_terms(a: Column, b: Column) -> Column:
+    """The terms of both lists, each once whatever its case, in order; the first writing stays."""
+    both = F.filter(F.concat(F.coalesce(a, F.array().cast("array<string>")), F.coalesce(b, F.array().cast("array<string>"))), lambda t: t.isNotNull())
+    return bound(both, lambda all_: bound(F.transform(all_, F.lower), lambda low: F.filter(all_, lambda t, i: F.array_position(low, F.lower(t)) == i + 1)))
+
+
 def split_terms(c: Column) -> Column:
     """User-typed exclusion terms: split at commas, lines and semicolons, trimmed, lower case."""
     return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"[,\n;]+"), lambda x: F.lower(F.trim(x))), lambda x: x != "")

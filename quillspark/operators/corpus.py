@@ -37,10 +37,7 @@ def corpus(papers: DataFrame) -> DataFrame:
 
 def open_or_create(spark: SparkSession, path: str) -> DataFrame:
     """The table at a path; an empty one of the fixed schema is written first if there is none."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
-        spark.createDataFrame([], PAPERS).write.parquet(path)
+    spark.createDataFrame([], PAPERS).write.mode("ignore").parquet(path)  # writes only where nothing is
     return spark.read.schema(PAPERS).parquet(path)
 
 
@@ -75,12 +72,12 @@ def in_subcategories(codes: list[str]) -> Column:
     return any_of(out) if out else F.lit(True)
 
 
-def scan(papers: DataFrame, start: str, end: str, category: str | None = None, codes: list[str] | None = None, cap: int = V.SCAN_CAP) -> DataFrame:
+def scan(papers: DataFrame, start: str, end: str, category: str | None = None, codes: list[str] | None = None, cap: int = V.SCAN_CAP, with_vector: bool = False) -> DataFrame:
     """Papers of a date window, newest first; the cap is the interactive scan's own limit."""
     rows = corpus(papers).where(in_window(start, end) & in_category(category))
     if codes and category != "All":
         rows = rows.where(in_subcategories(codes))
-    return rows.drop("vector").orderBy(F.desc("submitted"), "paper_id").limit(cap)
+    return (rows if with_vector else rows.drop("vector")).orderBy(F.desc("submitted"), "paper_id").limit(cap)
 
 
 def names_term(terms: list[str]) -> Column:
@@ -139,5 +136,5 @@ def known_ids(incoming: DataFrame, existing: DataFrame, key: str, existing_key:
 
 
 def pending(papers: DataFrame) -> DataFrame:
-    """Rows still to be embedded."""
-    return corpus(papers).where(~F.col("has_embedding"))
+    """Rows still to be embedded, newest first."""
+    return corpus(papers).where(~F.col("has_embedding")).orderBy(F.desc("submitted"), "paper_id")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillspark.functions import fixed as V
+from quillspark.sources.shared import materialised
 
 
 def classify(rows: DataFrame) -> DataFrame:
@@ -67,10 +68,10 @@ def page(ranked: DataFrame, number: int, size: int = 10) -> DataFrame:
 def chunks(rows: DataFrame, key: list[str], size: int) -> DataFrame:
     """Rows numbered in batches of ``size`` in key order, without gathering them in one task.
 
-    Rows are range-partitioned by key; each partition numbers its own rows and adds the counts of
-    those before it.
+    Rows are range-partitioned by key and kept, so that counts and numbers see the same partitions; each
+    partition numbers its own rows and adds the counts of those before it.
     """
-    placed = rows.repartitionByRange(*key).withColumn("part", F.spark_partition_id())
+    placed = materialised(rows.repartitionByRange(*key).withColumn("part", F.spark_partition_id()))
     counts = placed.groupBy("part").agg(F.count("*").alias("n"))  # one row a partition
     before = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
     local = placed.withColumn("i", F.row_number().over(Window.partitionBy("part").orderBy(*key)))

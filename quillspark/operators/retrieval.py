@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillspark.functions import fixed as V
-from quillspark.functions.scores import cosine_to
-from quillspark.functions.text import sentences, snippet, tokens
+from quillspark.functions.scores import cosine_to, sigmoid
+from quillspark.functions.text import any_of, sentences, snippet, tokens
 
 K1, B = 1.2, 0.75
 FIELDS = ("title", "abstract")
@@ -29,6 +29,29 @@ def write_index(docs: DataFrame, path: str, buckets: int = 64) -> None:
         rows.repartition("bucket").write.mode("overwrite" if i == 0 else "append").partitionBy("field", "bucket").parquet(path)
 
 
+def index_statistics(docs: DataFrame) -> DataFrame:
+    """One row of the collection's statistics: documents and mean lengths of the fields."""
+    return docs.agg(F.count("*").alias("n"), *[F.avg(F.size(tokens(F.col(f)))).alias(f"{f}_avg") for f in FIELDS])
+
+
+def build_index(docs: DataFrame, path: str, buckets: int = 64) -> None:
+    """The index of all fields with the statistics that scores need."""
+    write_index(docs, f"{path}/postings", buckets)
+    index_statistics(docs).withColumn("buckets", F.lit(buckets)).write.mode("overwrite").parquet(f"{path}/statistics")
+
+
+def search_index(spark: SparkSession, path: str, terms: list[str]) -> DataFrame:
+    """BM25 scores as ``bm25`` gives them, from the postings of the terms alone: other fields, buckets and terms are never read."""
+    stats = spark.read.parquet(f"{path}/statistics").first()
+    wanted = list(dict.fromkeys(terms))
+    rows = spark.read.parquet(f"{path}/postings").where(F.col("term").isin(wanted) & any_of([F.col("bucket") == F.pmod(F.xxhash64(F.lit(t)), F.lit(stats["buckets"])) for t in wanted]))
+    df = rows.groupBy("field", "term").agg(F.count("*").alias("df"))  # a row per field and term
+    mean = F.when(F.col("field") == FIELDS[0], F.lit(stats[f"{FIELDS[0]}_avg"])).otherwise(F.lit(stats[f"{FIELDS[1]}_avg"]))
+    idf = F.log(1 + (F.lit(stats["n"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / mean))
+    return rows.join(F.broadcast(df), ["field", "term"]).groupBy("paper_id").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
+
+
 def vocabulary(docs: DataFrame, field: str) -> DataFrame:
     """Per term: documents and occurrences."""
     return postings(docs, field).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
@@ -125,7 +148,7 @@ def pair_rerank(rows: DataFrame, query: str, score: Callable[[Column, Column], C
     if score is None:
         return rows.withColumn("pair_score", F.lit(None).cast("double")).orderBy(F.desc("similarity"), "paper_id").limit(keep)
     raw = score(F.lit(query), F.concat_ws("\n\n", "title", F.substring("abstract", 1, V.PAIR_CHARS)))
-    return rows.withColumn("raw_score", raw).withColumn("pair_score", F.round(1 / (1 + F.exp(-F.col("raw_score"))), 6)).orderBy(F.desc("raw_score"), "paper_id").limit(keep).drop("raw_score")
+    return rows.withColumn("raw_score", raw).withColumn("pair_score", F.round(sigmoid(F.col("raw_score")), 6)).orderBy(F.desc("raw_score"), "paper_id").limit(keep).drop("raw_score")
 
 
 def highlights(rows: DataFrame, terms: list[str]) -> DataFrame:

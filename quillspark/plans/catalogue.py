@@ -694,14 +694,6 @@ def hash_embed_rerank(spark, folder):
     return R.rerank(rows.withColumn("has_embedding", F.lit(False)), hash_vector("protein routing benchmark"), hash_embed).select("paper_id", "similarity")
 
 
-@query()
-def pair_rerank(spark, folder):
-    from quillspark.functions.embed import overlap_scorer
-
-    rows = similar(spark, folder).where("similarity is not null")
-    return R.pair_rerank(rows, "protein routing benchmark", overlap_scorer).select("paper_id", "pair_score")
-
-
 @query()
 def lsh_ann(spark, folder):
     from quillspark.operators.ann import lsh_neighbours
@@ -720,3 +712,7 @@ def ivf_ann(spark, folder):
 @query()
 def gbt_feature_importance(spark, folder):
     return training.feature_importance(training.features(papers_of(spark, folder)))
+
+
+# the queries of briefs, services and pipelines register themselves
+from quillspark.plans import catalogue_briefs, catalogue_services  # noqa: E402, F401

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import json
-import os
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.functions import fixed as V
+from quillspark.sources.shared import read_json, write_json
+
 
 def markdown(ranked: DataFrame) -> DataFrame:
     """(rank, section): one section of Markdown per ranked row."""
@@ -24,25 +24,27 @@ def append_log(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").option("header", True).csv(path)
 
 
-def write_meta(path: str, rows: int, now: str, arxiv: bool = False, s2: bool = False) -> dict:
+def write_meta(spark: SparkSession, path: str, rows: int, now: str, arxiv: bool = False, s2: bool = False) -> dict:
     """Index metadata; a source's last time is carried forward unless it ran."""
-    old = read_json(path, {})
+    old = read_json(spark, path, {})
     meta = {"built_at": now, "last_arxiv_at": now if arxiv else old.get("last_arxiv_at"), "last_s2_at": now if s2 else old.get("last_s2_at"), "corpus_size": rows, "schema_version": 2}
-    write_json(path, meta)
+    write_json(spark, path, meta)
     return meta
 
 
-def write_json(path: str, value: dict) -> None:
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(value, f)
+def read_weights(spark: SparkSession, path: str | None) -> dict[str, float]:
+    """The learned weights of a folder; the fixed ones where it is missing, unreadable or not four numbers."""
+    got = read_json(spark, path, {}) if path else {}
+    fit = set(got) == set(V.DEFAULT_WEIGHTS) and all(isinstance(w, (int, float)) for w in got.values())
+    return {n: float(w) for n, w in got.items()} if fit else dict(V.DEFAULT_WEIGHTS)
+
+
+def stale(checked: Column, now: Column, held: Column, offered: Column, every: int = 1800) -> Column:
+    """Whether a copy is to be fetched again: the last check lies ``every`` seconds back, or never was, and the stored tag is another."""
+    due = checked.isNull() | (F.unix_timestamp(now) - F.unix_timestamp(checked) >= every)
+    return due & offered.isNotNull() & ~held.eqNullSafe(offered)
 
 
-def read_json(path: str, default: dict) -> dict:
-    """The object of a file; the default if it is missing or unreadable."""
-    try:
-        with open(path, encoding="utf-8") as f:
-            got = json.load(f)
-        return got if isinstance(got, dict) else default
-    except (OSError, ValueError):
-        return default
+def for_display(ranked: DataFrame) -> DataFrame:
+    """Result columns under the names that the user interface reads."""
+    return ranked.withColumnsRenamed({"relevance": "rel", "too_new": "tooNew", "arxiv_url": "arxiv", "pdf_url": "pdf"})

@@ -15,7 +15,9 @@ from quillspark.operators import corpus as C
 from quillspark.operators import ranking as K
 from quillspark.operators import retrieval as R
 from quillspark.plans import brief as B
+from quillspark.plans import export
 from quillspark.schema import VECTOR_DIM
+from quillspark.sources import services
 
 
 @dataclass(frozen=True)
@@ -24,8 +26,13 @@ class Request:
     exclude: str = ""
     date_range: str = "Last Month"
     top_n: int = 5
+    provider: str = "free"
+    model: str = ""
+    key: str = ""
 
     def __post_init__(self):
+        if self.provider not in V.PROVIDERS:
+            raise ValueError(f"unknown provider: {self.provider}")
         if self.date_range not in (*V.WINDOW_DAYS, "All Time"):
             raise ValueError(f"unknown date window: {self.date_range}")
         if not 1 <= self.top_n <= 10:
@@ -40,9 +47,18 @@ class Models:
     embed: Callable[[Column], Column] | None = None
     score_pair: Callable[[Column, Column], Column] | None = None
     utility: Callable[[Column], Column] | None = None
+    complete: Callable[[str], str] | None = None
+    lookup: Callable[[str, dict, dict], str] | None = None
+    weights: str | None = None  # folder of the learned weights
     tiers: tuple = ()
 
 
+def understanding(q: B.Query) -> dict:
+    """What a result tells of how its brief was read."""
+    f = q.filters
+    return {"intent": q.intent, "terms": list(q.keywords), "not_terms": list(f.not_terms), "quality": q.quality, "source": q.source, "window": f.window, "authors": list(f.authors), "venues": list(f.venues), "criteria": [{"name": n, "definition": d, "strength": s} for n, d, s in q.criteria]}
+
+
 def probe(papers: DataFrame) -> list[float]:
     """Vector of the first usable row by id."""
     row = papers.where(F.col("has_embedding") & (F.size("vector") == VECTOR_DIM)).orderBy("arxiv_id").select("vector").first()
@@ -78,8 +94,7 @@ def search(papers: DataFrame, request: Request, as_of: str, models: Models = Mod
         return {"type": "stage", "index": i, "status": status, "name": V.STAGES[i], "detail": detail}
 
     yield event(0, "running")
-    rows = C.scan(papers, *C.window(request.date_range, as_of)).drop("rank")
-    rows = rows.join(papers.select(F.col("arxiv_id").alias("paper_id"), "vector"), "paper_id")
+    rows = C.scan(papers, *C.window(request.date_range, as_of), with_vector=True)
     unwanted = [t.strip().lower() for t in request.exclude.replace("\n", ",").replace(";", ",").split(",") if t.strip()]
     rows = C.without_terms(rows, unwanted)
     if rows.isEmpty():
@@ -102,8 +117,10 @@ def search(papers: DataFrame, request: Request, as_of: str, models: Models = Mod
         return
     yield event(4, "done")
     yield event(5, "running")
+    if models.lookup:
+        chosen = services.lookup_citations(chosen, models.lookup)
     if models.utility:
-        score = S.impact(F.col("title"), F.col("max_author_citations"), F.col("submitted"), models.utility(F.col("abstract")), as_of, q.quality)
+        score = S.impact(F.col("title"), F.col("max_author_citations"), F.col("submitted"), models.utility(F.col("abstract")), as_of, q.quality, export.read_weights(papers.sparkSession, models.weights))
         rated = chosen.withColumn("impact", score)
     else:
         rated = K.heuristic_impact(chosen)
@@ -112,4 +129,5 @@ def search(papers: DataFrame, request: Request, as_of: str, models: Models = Mod
     final = K.result_row(K.final_rank(rated)).withColumns(signals).withColumn("kind", X.paper_type(F.col("abstract"))).withColumn("why", S.bullets(F.col("max_author_citations"), F.col("submitted"), as_of))
     yield event(5, "done")
     result = final.join(reasons, "paper_id", "left").orderBy("rank")
-    yield {"type": "done", "query": q, "window": q.filters.window, "papers": result, "summarise": result.where(F.col("rank") <= request.top_n)}
+    told = services.summarised(result, models.complete, request.top_n).orderBy("rank")
+    yield {"type": "done", "query": q, "understanding": understanding(q), "window": q.filters.window, "papers": told, "summarise": told.where(F.col("rank") <= request.top_n)}

@@ -3,19 +3,14 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from quillspark.operators.merge import upsert
-
-
-def work_dir(spark: SparkSession) -> str:
-    """A fresh folder in the one all executors share, or a temporary one where none is named (tests)."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return f"{named.rstrip('/')}/stream-{uuid.uuid4().hex}" if named else "file://" + tempfile.mkdtemp(prefix="quillspark-stream-")
+from quillspark.operators.merge import latest, upsert
+from quillspark.schema import PAPERS
+from quillspark.sources.shared import work_dir
 
 
 def latest_per_key(spark: SparkSession, path: str, key: str, order: str) -> DataFrame:
@@ -24,7 +19,7 @@ def latest_per_key(spark: SparkSession, path: str, key: str, order: str) -> Data
     Each micro-batch is merged with the state written by the last; batch numbers name the versions, so
     a batch that is run again overwrites its own version and the result stays exactly once.
     """
-    base = work_dir(spark)
+    base = work_dir(spark, "stream")
     schema = spark.read.parquet(path).schema
     where = path if os.path.isdir(path) else os.path.dirname(path)
     names = "*" if os.path.isdir(path) else os.path.basename(path)
@@ -42,12 +37,27 @@ def latest_per_key(spark: SparkSession, path: str, key: str, order: str) -> Data
     return spark.read.parquet(f"{base}/state-{last}").select(order, key)
 
 
-def ingest(spark: SparkSession, feed: DataFrame, table_path: str, checkpoint: str, key: str = "arxiv_id", at: str = "seen_at", late: str = "7 days") -> None:
-    """Upsert a streaming feed of records into a versioned table, dropping repeats within the allowed lateness."""
+def ingest(spark: SparkSession, feed: DataFrame, table_path: str, checkpoint: str, key: str = "arxiv_id", at: str = "seen_at", late: str = "7 days", buckets: int = 64) -> DataFrame:
+    """Upsert a streaming feed of records into a table, dropping repeats within the allowed lateness; the table.
+
+    The table is partitioned by a bucket of the key, and a micro-batch rewrites only the buckets it
+    touches. An upsert that is repeated changes nothing, so a batch that is run again, and a stream that
+    starts over with a new checkpoint, leave the table as it should be.
+    """
+    names = [n for n in PAPERS.names if n != "bucket"]
+    schema = StructType([*[PAPERS[n] for n in names], StructField("bucket", IntegerType())])
+    spark.createDataFrame([], PAPERS).write.mode("ignore").parquet(f"{table_path}/bucket=-1")
     unique = feed.withWatermark(at, late).dropDuplicatesWithinWatermark([key])
 
     def merge(batch: DataFrame, number: int) -> None:
-        table = spark.read.parquet(f"{table_path}/v{number}")
-        upsert(table, batch).drop("action").write.mode("overwrite").parquet(f"{table_path}/v{number + 1}")
+        session = batch.sparkSession
+        fresh = latest(batch, key, [at]).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).persist()
+        touched = [r.bucket for r in fresh.select("bucket").distinct().collect()]  # as many as there are buckets at most
+        if touched:
+            table = session.read.schema(schema).parquet(table_path).where(F.col("bucket").isin(touched))
+            merged = upsert(table.drop("bucket"), fresh.drop("bucket")).drop("action").withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+            merged.repartition("bucket").write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("bucket").parquet(table_path)
+        fresh.unpersist()
 
     unique.writeStream.foreachBatch(merge).trigger(availableNow=True).option("checkpointLocation", checkpoint).start().awaitTermination()
+    return spark.read.schema(schema).parquet(table_path).where("bucket >= 0").drop("bucket")

@@ -114,12 +114,14 @@ def test_schedule():
     assert ingest.schedule("arxiv", meta, now, runners, lambda: ran.append("sync")) == ["arxiv"]
 
 
-def test_metadata(tmp_path):
-    path = str(tmp_path / "m.json")
-    export.write_meta(path, 3, "t1", arxiv=True)
-    assert export.write_meta(path, 4, "t2", s2=True) == {"built_at": "t2", "last_arxiv_at": "t1", "last_s2_at": "t2", "corpus_size": 4, "schema_version": 2}
-    (tmp_path / "bad.json").write_text("{")
-    assert export.read_json(str(tmp_path / "bad.json"), {"x": 1}) == {"x": 1}
+def test_metadata(spark, tmp_path):
+    path = str(tmp_path / "m")
+    export.write_meta(spark, path, 3, "t1", arxiv=True)
+    assert export.write_meta(spark, path, 4, "t2", s2=True) == {"built_at": "t2", "last_arxiv_at": "t1", "last_s2_at": "t2", "corpus_size": 4, "schema_version": 2}
+    (tmp_path / "bad").write_text("{")
+    assert export.read_json(spark, str(tmp_path / "bad"), {"x": 1}) == {"x": 1} == export.read_json(spark, str(tmp_path / "none"), {"x": 1})
+    export.write_json(spark, str(tmp_path / "w"), {"fame": 0.5, "hype": 0.1, "sniper": 0.2, "utility": 0.2})
+    assert export.read_weights(spark, str(tmp_path / "w"))["fame"] == 0.5 and export.read_weights(spark, path)["fame"] == 0.84
 
 
 def test_training(spark):
