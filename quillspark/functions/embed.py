@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,9 +18,9 @@ DIM = 256
 
 def hash_vector(text: str | None, dim: int = DIM) -> list[float]:
     """Unit vector of hashed word counts; zeros for a text without words."""
-    v = np.zeros(dim, np.float32)
+    v = np.zeros(dim)
     for w in re.findall(r"[a-z0-9]+", (text or "").lower()):
-        h = zlib.crc32(w.encode())
+        h = int(hashlib.md5(w.encode(), usedforsecurity=False).hexdigest()[:8], 16)
         v[h % dim] += 1.0 if h >> 31 else -1.0
     n = float(np.linalg.norm(v))
     return (v / n if n else v).tolist()
@@ -29,7 +29,7 @@ def hash_vector(text: str | None, dim: int = DIM) -> list[float]:
 def hash_embed(text: Column) -> Column:
     """Feature-hashing embedder as an Arrow batch function."""
 
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf("array<double>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
             yield s.map(hash_vector)

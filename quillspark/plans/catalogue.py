@@ -686,7 +686,13 @@ def precision_at_10(spark, folder):
     return training.precision_at(rows, "predicted", "citation_count")
 
 
-@query()
+@query(
+    f"""WITH {CORPUS}, w AS (SELECT paper_id, unnest(regexp_extract_all(lower(title || chr(10) || chr(10) || abstract), '[a-z0-9]+')) AS w FROM corpus),
+h AS (SELECT paper_id, ('0x' || substr(md5(w), 1, 8))::BIGINT AS h FROM w), v AS (SELECT paper_id, h % 256 AS d, sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END) AS x FROM h GROUP BY ALL),
+qh AS (SELECT ('0x' || substr(md5(w), 1, 8))::BIGINT AS h FROM (SELECT unnest(['protein', 'routing', 'benchmark']) AS w)), q AS (SELECT h % 256 AS d, sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END) AS y FROM qh GROUP BY ALL),
+s AS (SELECT paper_id, sum(x * coalesce(y, 0)) / (sqrt(sum(x * x)) * (SELECT sqrt(sum(y * y)) FROM q)) AS s FROM v LEFT JOIN q USING (d) GROUP BY paper_id)
+SELECT paper_id, round(coalesce(s, 0), 6)::DOUBLE AS similarity FROM corpus LEFT JOIN s USING (paper_id) ORDER BY round(coalesce(s, 0), 6) DESC, paper_id LIMIT {V.KEEP_VECTOR}"""
+)
 def hash_embed_rerank(spark, folder):
     from quillspark.functions.embed import hash_embed, hash_vector
 

@@ -96,6 +96,15 @@ def sigmoid(spark, folder):
     return table(spark, folder, "part").select("p_partkey", F.round(S.sigmoid((F.col("p_size") - 25) / 10.0), 6).alias("s"))
 
 
+_INITIALS = "upper(array_to_string(list_transform({0}, lambda x: substr(x, 1, 1)), ''))"
+
+
+@query("WITH w AS (SELECT venue_id, short_name, list_filter(regexp_split_to_array(canonical_name, '[^0-9A-Za-z]+'), lambda x: x <> '') AS ws FROM venue_list WHERE short_name IS NOT NULL) SELECT venue_id, len(ws) > 0 AND upper(short_name) IN (" + _INITIALS.format("ws") + ", " + _INITIALS.format("list_filter(ws, lambda x: lower(x) NOT IN (" + quoted(V.CONNECTORS) + "))") + ") AS fits FROM w")
+def venue_acronyms(spark, folder):
+    rows = table(spark, folder, "venue_list").where("short_name is not null")
+    return rows.select("venue_id", X.letters_match(F.col("short_name"), F.col("canonical_name")).alias("fits"))
+
+
 # --- on the driver: the expected rows are stated by hand
 
 

@@ -52,7 +52,7 @@ def embed_in_chunks(table: DataFrame, path: str, embed: Callable, size: int = 20
     made = spark.read.schema("arxiv_id string, vector array<float>, chunk int").parquet(f"{path}/made")
     done = {r.chunk for r in made.select("chunk").distinct().collect()}
     for c in sorted({r.chunk for r in plan.select("chunk").distinct().collect()} - done):
-        part = plan.where(F.col("chunk") == c).select(F.col("paper_id").alias("arxiv_id"), embed(F.col("text")).alias("vector"))
+        part = plan.where(F.col("chunk") == c).select(F.col("paper_id").alias("arxiv_id"), embed(F.col("text")).cast("array<float>").alias("vector"))
         part.write.mode("overwrite").parquet(f"{path}/made/chunk={c}")
     return spark.read.schema("arxiv_id string, vector array<float>, chunk int").parquet(f"{path}/made").where("chunk >= 0")
 
