@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,9 +29,12 @@ class Encoder:
     neighbour. Each change climbs one path, so a piece of n bytes costs O(n log n) however long.
     """
 
-    def __init__(self, path: str):
-        with open(path, "rb") as lines:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
+    def __init__(self, vocabulary: str | bytes):
+        """``vocabulary``: the file's path, or its content."""
+        if isinstance(vocabulary, str):
+            with open(vocabulary, "rb") as f:
+                vocabulary = f.read()
+        self.ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in vocabulary.splitlines() if x.strip())}
         self.split = regex.compile(PATTERN).findall
         self.seen: dict[str, tuple[int, ...]] = {}
 
@@ -103,25 +107,28 @@ class Encoder:
         return out
 
 
-def encoder(path: str) -> Encoder:
-    """The encoder of a vocabulary file, loaded once per process."""
-    if path not in _LOADED:
-        _LOADED[path] = Encoder(path)
-    return _LOADED[path]
+def encoder(content: bytes) -> Encoder:
+    """The encoder of a vocabulary, made once per process."""
+    name = hashlib.sha256(content).hexdigest()
+    if name not in _LOADED:
+        _LOADED[name] = Encoder(content)
+    return _LOADED[name]
 
 
 def encode_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, sizes_only: bool = False) -> DataFrame:
     """(doc_id, ids) for every row, or (doc_id, n_tokens) with ``sizes_only``.
 
     Null and empty texts give an empty list (size 0). Rows are independent: repeated or null ids
-    stay repeated, other columns are ignored, an empty table gives no rows. The work is a map
-    over the scan; nothing is shuffled unless the scan has fewer partitions than cores.
+    stay repeated, other columns are ignored, an empty table gives no rows. The vocabulary file is read where
+    the job is started and sent along (it is of a fixed size), so executors need no copy. The work is a map over the scan; nothing is shuffled unless the scan has fewer partitions than cores.
     """
+    with open(vocabulary, "rb") as f:
+        content = docs.sparkSession.sparkContext.broadcast(f.read())
     kind = pa.int32() if sizes_only else pa.list_(pa.int32())
     out = "n_tokens" if sizes_only else "ids"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary)
+        enc = encoder(content.value)
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
