@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -95,15 +96,16 @@ def cosine_to(vectors: Column, query: list[float]) -> Column:
     q = np.array(query, np.float64)
     size = float(np.sqrt((q * q).sum()))
 
-    @F.pandas_udf("double")
-    def run(v: pd.Series) -> pd.Series:
+    @F.arrow_udf("double")
+    def run(v: pa.Array) -> pa.Array:
         out = np.zeros(len(v))
-        ok = np.array([x is not None and len(x) == len(q) for x in v], bool)
-        if ok.any():
-            x = np.stack(v[ok].to_numpy()).astype(np.float64)
-            n = np.sqrt((x * x).sum(axis=1)) * size
-            out[ok] = np.nan_to_num(np.where(n > 0, x @ q / np.where(n > 0, n, 1.0), 0.0))
-        return pd.Series(out)
+        ok = pc.fill_null(pc.equal(pc.list_value_length(v), len(q)), False)
+        rows, kept = np.flatnonzero(ok.to_numpy(zero_copy_only=False)), v.filter(ok)
+        for at in range(0, len(kept), 2000):  # the floats of the batch as they lie, no object per row
+            x = kept.slice(at, 2000).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, len(q))
+            n = np.sqrt(np.einsum("ij,ij->i", x, x)) * size
+            out[rows[at : at + 2000]] = np.nan_to_num(np.where(n > 0, x @ q / np.where(n > 0, n, 1.0), 0.0))
+        return pa.array(out)
 
     return run(vectors)
 

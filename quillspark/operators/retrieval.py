@@ -137,10 +137,13 @@ def ladder(rows: DataFrame, quality: Column, dates: Column | None, entities: Col
 def rerank(rows: DataFrame, query: list[float], embed: Callable[[Column], Column] | None = None, keep: int = V.KEEP_VECTOR) -> DataFrame:
     """Best rows by similarity of their stored vector. Rows without a usable one are embedded live if an embedder is given, and are its only rows."""
     usable = F.coalesce(F.col("has_embedding") & (F.size("vector") == len(query)), F.lit(False))
-    stored = rows.where(usable).withColumn("similarity", F.round(cosine_to(F.col("vector"), query), 6)).withColumn("branch", F.lit(0))
-    rest = rows.where(~usable)
-    rest = rest.withColumn("similarity", F.round(cosine_to(embed(F.concat_ws("\n\n", "title", "abstract")), query), 6) if embed else F.lit(0.0)).withColumn("branch", F.lit(1))
-    return stored.unionByName(rest).orderBy(F.desc("similarity"), "branch", "paper_id").limit(keep)
+    near = F.round(cosine_to(F.col("vector"), query), 6)
+    if embed is None:  # one scan
+        found = rows.withColumns({"similarity": F.when(usable, near).otherwise(0.0), "branch": F.when(usable, 0).otherwise(1)})
+    else:
+        live = F.round(cosine_to(embed(F.concat_ws("\n\n", "title", "abstract")), query), 6)
+        found = rows.where(usable).withColumns({"similarity": near, "branch": F.lit(0)}).unionByName(rows.where(~usable).withColumns({"similarity": live, "branch": F.lit(1)}))
+    return found.orderBy(F.desc("similarity"), "branch", "paper_id").limit(keep)
 
 
 def pair_rerank(rows: DataFrame, query: str, score: Callable[[Column, Column], Column] | None, keep: int = V.KEEP_PAIR) -> DataFrame:
