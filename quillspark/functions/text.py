@@ -26,6 +26,11 @@ def holds_any(c: Column, words: list[str]) -> Column:
     return F.coalesce(any_of([c.contains(w) for w in words]), F.lit(False))
 
 
+def sql_literal(c: Column) -> Column:
+    """A text as it may stand in a SQL text: in quotes, its own doubled. Expressions here need none; exports of predicates do."""
+    return F.concat(F.lit("'"), F.replace(F.coalesce(c, F.lit("")), F.lit("'"), F.lit("''")), F.lit("'"))
+
+
 def like_literal(c: Column) -> Column:
     """A name reduced to letters, digits, space, point, hyphen and ampersand; runs of hyphens and spaces become a space; 60 characters at most."""
     return F.trim(F.substring(F.regexp_replace(F.regexp_replace(c, r"[^0-9A-Za-z .\-&]", ""), r"[-\s]{2,}", " "), 1, 60))

@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import fixed as V
+from quillspark.functions import text as X
 from quillspark.functions.embed import hash_embed, overlap_scorer
 from quillspark.operators import ann
 from quillspark.operators import corpus as C
 from quillspark.operators import ranking as K
 from quillspark.operators import retrieval as R
 from quillspark.plans import export, ingest, training
-from quillspark.plans.catalogue import _FINAL, _SNIPER, AS_OF, CORPUS, SIMILAR, TERMS, _ATOM_CASE, _bm25_sql, final, halves, papers_of, query, similar, table
+from quillspark.plans.catalogue import _FINAL, AS_OF, CORPUS, PROBE, SIMILAR, TERMS, _ATOM_CASE, _bm25_sql, _hybrid_sql, final, halves, papers_of, query, similar, table
 from quillspark.plans.catalogue import SQL as CATALOGUE_SQL
 from quillspark.plans.catalogue_briefs import stated
-from quillspark.plans.search import Models, Request, search
+from quillspark.plans.brief import Query
+from quillspark.plans.search import Models, Request, candidates, health, probe, search, stages
 from quillspark.sources import records, replay, services
 from quillspark.sources.shared import work_dir
 from quillspark.streaming import upsert as stream
@@ -251,3 +255,57 @@ def ivf_recall(spark, folder):
     found, true = ann.search_cells(spark, path, asked, "vec_id", "embedding", 5), ann.brute_force(rows, asked, "vec_id", "embedding", 5)
     hits = true.join(found, ["id", "neighbour"], "left_semi").count()
     return asked.agg(F.count("*").alias("queries"), F.lit(hits >= 0.9 * true.count()).alias("found"))
+
+
+@query(_hybrid_sql(1.0, 1.0, "true", "(SELECT least(5 * k, 6000) FROM size)", "(SELECT k FROM size)") + f" SELECT paper_id, rrf, round(coalesce(CASE WHEN has_embedding AND len(vector) = 768 THEN list_cosine_similarity(vector::DOUBLE[], {PROBE}) END, 0.0), 6)::DOUBLE AS similarity FROM best JOIN corpus USING (paper_id) ORDER BY 3 DESC, paper_id LIMIT {V.KEEP_PAIR}")
+def candidate_pipeline(spark, folder):
+    """Retrieval over the whole pool for a query without filters: both arms, fusion, rerank by vector, no pair scorer."""
+    papers = table(spark, folder, "papers")
+    rows = papers_of(spark, folder)
+    return candidates(rows, Query(keywords=("protein routing", "benchmark"), statement="protein routing benchmark"), probe(papers)).select("paper_id", "rrf", "similarity")
+
+
+@query("SELECT s_suppkey, chr(39) || replace(s_name || chr(39) || 's', chr(39), chr(39) || chr(39)) || chr(39) AS literal FROM supplier")
+def sql_literals(spark, folder):
+    return table(spark, folder, "supplier").select("s_suppkey", X.sql_literal(F.concat("s_name", F.lit("'s"))).alias("literal"))
+
+
+@query("SELECT 'ok' AS status, count(*) AS papers, count(*) FILTER (WHERE has_embedding) AS embedded, 7 AS stages FROM papers")
+def service_health(spark, folder):
+    h = health(table(spark, folder, "papers"))
+    return spark.createDataFrame([(h["status"], h["papers"], h["embedded"], len(stages()))], "status string, papers long, embedded long, stages int")
+
+
+@query(stated("step, size, warm", [("no path", 0, "no"), ("unreadable, model fails", 0, "no"), ("read", 9, "yes"), ("held", 9, "yes")]))
+def startup(spark, folder):
+    """Metadata read once, models warmed up once; failures are tried again."""
+    base, held, out, calls = work_dir(spark, "start"), {}, [], []
+
+    def warm() -> None:
+        calls.append(1)
+        if len(calls) == 1:
+            raise OSError
+
+    def step(name: str, path: str | None, warm=None) -> None:
+        meta = export.bootstrap(spark, path, held, warm)
+        out.append((name, meta.get("corpus_size", 0), "yes" if held.get("warm") else "no"))
+
+    step("no path", None)
+    step("unreadable, model fails", f"{base}/none", warm)
+    export.write_meta(spark, f"{base}/meta", 9, "t1")
+    step("read", f"{base}/meta", warm)
+    export.write_meta(spark, f"{base}/meta", 10, "t2")
+    step("held", f"{base}/meta", warm)
+    return spark.createDataFrame(out, "step string, size int, warm string")
+
+
+RUNS = [("all", "s2|sync"), ("arxiv", "arxiv"), ("sync", "sync")]
+
+
+@query(stated("mode, ran", RUNS))
+def schedule_run(spark, folder):
+    """What each mode of the schedule runs when only one source is due."""
+    now = datetime(2026, 7, 20, tzinfo=timezone.utc)
+    meta = {"last_arxiv_at": "2026-07-19T00:00:00+00:00+00:00", "last_s2_at": "2026-07-01T00:00:00Z"}
+    runners = {n: lambda: None for n in ("arxiv", "s2")}
+    return spark.createDataFrame([(m, "|".join(ingest.schedule(m, meta, now, runners, lambda: None))) for m, _ in RUNS], "mode string, ran string")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +34,24 @@ def write_meta(spark: SparkSession, path: str, rows: int, now: str, arxiv: bool
     return meta
 
 
+def bootstrap(spark: SparkSession, path: str | None, held: dict, warm: Callable[[], object] | None = None) -> dict:
+    """The metadata of a deployment, read once per process into ``held``, and its models warmed up.
+
+    Without a path nothing is read. A failure is not fatal: the next call tries again.
+    """
+    if path and "meta" not in held:
+        meta = read_json(spark, path, {})
+        if meta:
+            held["meta"] = meta
+    if warm and not held.get("warm"):
+        try:
+            warm()
+            held["warm"] = True
+        except Exception:  # models load again on first use
+            held["warm"] = False
+    return held.get("meta", {})
+
+
 def read_weights(spark: SparkSession, path: str | None) -> dict[str, float]:
     """The learned weights of a folder; the fixed ones where it is missing, unreadable or not four numbers."""
     got = read_json(spark, path, {}) if path else {}

@@ -65,6 +65,17 @@ def probe(papers: DataFrame) -> list[float]:
     return [float(x) for x in row["vector"]] if row else [0.0] * VECTOR_DIM
 
 
+def stages() -> list[tuple[int, str]]:
+    """The stages of a search by number."""
+    return list(enumerate(V.STAGES))
+
+
+def health(papers: DataFrame) -> dict:
+    """Whether a table can be searched: its rows and those with an embedding."""
+    row = papers.agg(F.count("*").alias("papers"), F.count_if("has_embedding").alias("embedded")).first()
+    return {"status": "ok" if row.papers else "empty", "papers": row.papers, "embedded": row.embedded}
+
+
 def stage_of(message: str) -> int:
     """Stage of a progress message by the first marker it holds."""
     return next((n for marker, n in V.STAGE_MARKERS if marker in message), 1)
