@@ -126,7 +126,7 @@ def csv_log(spark, folder):
     return spark.read.option("header", True).schema(rows.schema).csv(path)
 
 
-@query("SELECT count(*) AS corpus_size, 't2' AS built_at, 't1' AS last_arxiv_at, 't2' AS last_s2_at, 2 AS schema_version, 0.84 AS fame, 0.5 AS learned FROM papers")
+@query("SELECT count(*) AS corpus_size, 't2' AS built_at, 't1' AS last_arxiv_at, 't2' AS last_s2_at, 2 AS schema_version, 0.84::DOUBLE AS fame, 0.5::DOUBLE AS learned FROM papers")
 def metadata_round_trip(spark, folder):
     """Metadata carried forward, weights written and read, unreadable ones replaced by the fixed ones."""
     base, papers = work_dir(spark, "meta"), table(spark, folder, "papers")
