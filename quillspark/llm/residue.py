@@ -11,6 +11,7 @@ from re import _constants as sre
 from re._parser import parse as sre_parse
 
 import pyarrow as pa
+import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -228,41 +229,40 @@ def required(tree) -> set[str] | None:
 
 
 class Rules:
-    """Caseless patterns behind an automaton of the strings they require: each runs only on segments that could match it.
+    """Sets of caseless patterns behind one automaton of the strings they require: each runs only on segments that could match it.
 
     The strings are derived from the patterns, so nothing that a pattern matches is passed over.
     """
 
-    def __init__(self, patterns: list[str]) -> None:
-        self.compiled = [re.compile(p, re.I) for p in patterns]
-        self.always, by_string = [], defaultdict(list)
-        for i, p in enumerate(patterns):
-            strings = required(sre_parse(p, re.I))
-            if not strings or min(map(len, strings)) < 2:
-                self.always.append(i)
-            for x in strings or ():
-                by_string[x].append(i)
-        self.by_string = dict(by_string)
+    def __init__(self, **sets: list[str]) -> None:
+        self.compiled = {name: [re.compile(p, re.I) for p in patterns] for name, patterns in sets.items()}
+        self.always: set[tuple[str, int]] = set()
+        by_string = defaultdict(list)
+        for name, patterns in sets.items():
+            for i, p in enumerate(patterns):
+                strings = required(sre_parse(p, re.I))
+                if not strings or min(map(len, strings)) < 2:
+                    self.always.add((name, i))
+                for x in strings or ():
+                    by_string[x].append((name, i))
+        self.by_string = {x: tuple(which) for x, which in by_string.items()}
         self.automaton = None
         if ahocorasick:
             self.automaton = ahocorasick.Automaton()
             for x, which in self.by_string.items():
-                self.automaton.add_word(x, tuple(which))
+                self.automaton.add_word(x, which)
             self.automaton.make_automaton()
 
-    def possible(self, text: str) -> set[int]:
+    def possible(self, text: str) -> set[tuple[str, int]]:
+        """The patterns, as (set, number), that could match a text or a part of it."""
         low, found = text.casefold(), set(self.always)
-        for which in (w for _, w in self.automaton.iter(low)) if self.automaton else (w for x, w in self.by_string.items() if x in low):
+        for which in [w for _, w in self.automaton.iter(low)] if self.automaton else [w for x, w in self.by_string.items() if x in low]:
             found.update(which)
         return found
 
-    def first(self, *texts: str) -> re.Match | None:
-        """A match in one of the texts."""
-        for i in self.possible(texts[-1]):
-            for t in texts:
-                if m := self.compiled[i].search(t):
-                    return m
-        return None
+    def holds(self, name: str, possible: set[tuple[str, int]], *texts: str) -> bool:
+        """Whether a pattern of a set matches one of the texts, each a part of the one that ``possible`` is of."""
+        return any(self.compiled[name][i].search(t) for of, i in possible if of == name for t in texts)
 
 
 def branches(pattern: str) -> list[str]:
@@ -283,7 +283,7 @@ def branches(pattern: str) -> list[str]:
     return [*out, pattern[start:]]
 
 
-STRONG, INSTRUCTIONS, ADDRESS = (Rules([b for p in some for b in branches(p)]) for some in (_MESSAGES, _INSTRUCTIONS, [_ADDRESS.pattern]))
+RULES = Rules(strong=[b for p in _MESSAGES for b in branches(p)], instruction=[b for p in _INSTRUCTIONS for b in branches(p)], address=branches(_ADDRESS.pattern))
 
 
 def asks_for_field(inner: str, whole: str = "") -> bool:
@@ -330,8 +330,8 @@ def is_filler(segment: str) -> bool:
     quick = segment.lower().split()
     if len(quick) < 3:
         return False
-    latin = sum(w[:4] in LATIN for w in quick)
-    if latin < 4 and not any(w.strip(".,;:!?") in NONSENSE or set(w) <= _X for w in quick):
+    latin = sum(map(LATIN.__contains__, [w[:4] for w in quick]))
+    if latin < 4 and not any(w.strip(".,;:!?") in NONSENSE or (w[0] in _X and set(w) <= _X) for w in quick):
         return False
     ws = re.findall(r"[^\W\d_]+", segment.lower())
     if len(ws) < 3:
@@ -355,6 +355,7 @@ def is_filler(segment: str) -> bool:
 
 
 _X = frozenset("x.,")
+_INVISIBLE = regex.compile(r"\p{Cf}+")  # no ASCII character is one
 
 
 def wrongly_filled(text: str) -> bool:
@@ -376,7 +377,7 @@ def segments(text: str) -> list[str]:
     """Sentences, lines and cells of a text, markup of pages removed."""
     t = html.unescape(text) if "&" in text and "&lt;" not in text else text
     if not t.isascii():
-        t = "".join(c for c in unicodedata.normalize("NFC", t) if c.isascii() or unicodedata.category(c) != "Cf")
+        t = _INVISIBLE.sub("", unicodedata.normalize("NFC", t))
     if "<" in t:
         t = _TAGS.sub("\n", _TITLE_TAG.sub(r"\n\1\n", t))
     t = t.replace("\r", "\n").replace("\xa0", " ").replace("　", " ")
@@ -399,16 +400,17 @@ def examine(text: str | None) -> tuple[bool, list[int]]:
             return True, []
         bare = _QUOTED.sub(" ", s) if len(s) > 60 else s
         head = bare.lstrip(" \t-–—*•·>#\"'([{")
-        if INSTRUCTIONS.first(head, bare):
+        can = RULES.possible(bare)
+        if RULES.holds("instruction", can, head, bare):
             return True, []
-        if STRONG.first(head, bare):
+        if RULES.holds("strong", can, head, bare):
             whole = masked(s)
             ws = whole.split()
             told[xxhash.xxh3_64_intdigest(whole)] = None
             if len(ws) > OPENING:
                 told[xxhash.xxh3_64_intdigest(" ".join(ws[:OPENING]) + " ...")] = None
             size, lines, sure = size + len(s), lines + 1, True
-        elif ADDRESS.first(bare) and not _PAPER.search(s) and not _NAMED.search(s) and not _MENTION.search(s):
+        elif RULES.holds("address", can, bare) and not _PAPER.search(s) and not _NAMED.search(s) and not _MENTION.search(s):
             told[xxhash.xxh3_64_intdigest(masked(s))] = None
             lines += 1
     if (sure and (lines > 1 or 2 * size >= sum(map(len, parts)) or 2 * lines >= len(parts))) or wrongly_filled(text):

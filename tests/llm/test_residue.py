@@ -1,6 +1,6 @@
 import pytest
 
-from quillspark.llm.residue import ADDRESS, INSTRUCTIONS, STRONG, examine, masked, residue, segments
+from quillspark.llm.residue import RULES, examine, masked, residue, segments
 
 CASES = [
     "We propose {{ title }}, which lowers the error.",
@@ -94,9 +94,10 @@ def test_gates_pass_over_nothing(spark):
     rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()
     extra = ["Please enable JS to continue.", "This page requires JS.", "ſorry - try again", "OOPS!", "Fehler 404: Seite nicht gefunden"]
     for s in {s for r in rows for s in segments(r.text or "")} | set(extra):
-        for rules in (STRONG, INSTRUCTIONS, ADDRESS):
-            assert bool(rules.first(s)) == any(c.search(s) for c in rules.compiled), s
-    assert all(STRONG.first(s) for s in extra[:2])
+        can = RULES.possible(s)
+        for name, patterns in RULES.compiled.items():
+            assert RULES.holds(name, can, s) == any(c.search(s) for c in patterns), s
+    assert all(RULES.holds("strong", RULES.possible(s), s) for s in extra[:2])
 
 
 def test_messages_amid_text_count_where_they_recur(spark):
