@@ -18,8 +18,20 @@ def unit(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.where(n > 0).select(F.col(id_col).alias("id"), scaled.alias("u")).withColumn("v", array_to_vector("u"))
 
 
-def lsh_neighbours(rows: DataFrame, id_col: str, vector_col: str, k: int, radius: float = 1.3) -> DataFrame:
-    """(id, neighbour, similarity): pairs within a Euclidean radius of unit vectors, found by random projections; the best k of each."""
+def reach(rows: DataFrame, id_col: str, vector_col: str, k: int, part: float = 0.95) -> float:
+    """The Euclidean distance of unit vectors within which most rows have their k neighbours, found on ``TRIALS`` rows."""
+    n = rows.count()
+    tried = rows.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < int((1 << 20) * min(1.0, TRIALS / max(1, n))))
+    last = brute_force(rows, tried, id_col, vector_col, k).groupBy("id").agg(F.min("similarity").alias("s"))
+    return last.agg(F.coalesce(F.percentile(F.sqrt(F.greatest(2 - 2 * F.col("s"), F.lit(0.0))), part), F.lit(2.0))).first()[0]
+
+
+def lsh_neighbours(rows: DataFrame, id_col: str, vector_col: str, k: int, radius: float | None = None) -> DataFrame:
+    """(id, neighbour, similarity): pairs within a Euclidean radius of unit vectors, found by random projections; the best k of each.
+
+    Without a radius, it is the one within which most rows have their neighbours.
+    """
+    radius = radius or reach(rows, id_col, vector_col, k)
     data = unit(rows, id_col, vector_col)
     model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=1.2, numHashTables=8, seed=7).fit(data)
     near = model.approxSimilarityJoin(data, data, radius, distCol="d").where("datasetA.id <> datasetB.id").select(F.col("datasetA.id").alias("id"), F.col("datasetB.id").alias("neighbour"), F.round(1 - F.col("d") * F.col("d") / 2, 6).alias("similarity"))

@@ -22,11 +22,37 @@ def upsert(table: DataFrame, incoming: DataFrame, key: str = "arxiv_id") -> Data
 
     A new key is inserted without an embedding. Of a known one, texts are replaced unless the new one is
     blank, counts take the larger, the year is read again, and a changed title or abstract drops the
-    embedding. One full join on the key does it all.
+    embedding. Rows whose key is not among the incoming ones are told apart first and never joined further:
+    where the incoming keys are few enough for Spark to broadcast them, no row of theirs, vectors
+    included, is shuffled; a full join merges the rest.
     """
+    keys = incoming.select(key).where(F.col(key).isNotNull()).distinct()
+    kept, touched = table.join(keys, key, "left_anti"), table.join(keys, key, "left_semi")
+    return merged_rows(touched, incoming, key).unionByName(kept_rows(kept, key))
+
+
+def blank_of(column: str) -> str:
+    """What stands for an unknown text or list."""
+    return "[]" if column in ("authors", "fields_of_study") else ""
+
+
+def kept_rows(rows: DataFrame, key: str) -> DataFrame:
+    """Rows that nothing is merged into, in the form of merged ones."""
+    return rows.select(
+        key,
+        *[F.coalesce(c, F.lit(blank_of(c))).alias(c) for c in COALESCED],
+        *[F.greatest(F.coalesce(c, F.lit(0)), F.lit(0)).alias(c) for c in COUNTED],
+        "year",
+        F.coalesce("has_embedding", F.lit(False)).alias("has_embedding"),
+        "vector",
+        F.lit("kept").alias("action"),
+    )
+
+
+def merged_rows(table: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
     known, fresh = F.col("o._known").isNotNull(), F.col("n._fresh").isNotNull()
     joined = table.withColumn("_known", F.lit(1)).alias("o").join(incoming.select(key, *COALESCED, *COUNTED).withColumn("_fresh", F.lit(1)).alias("n"), key, "full")
-    text = {c: F.coalesce(F.when(~F.coalesce(F.col(f"n.{c}"), F.lit("")).isin("", "[]"), F.col(f"n.{c}")), F.col(f"o.{c}"), F.lit("") if c not in ("authors", "fields_of_study") else F.lit("[]")) for c in COALESCED}
+    text = {c: F.coalesce(F.when(~F.coalesce(F.col(f"n.{c}"), F.lit("")).isin("", "[]"), F.col(f"n.{c}")), F.col(f"o.{c}"), F.lit(blank_of(c))) for c in COALESCED}
     count = {c: F.greatest(F.coalesce(f"o.{c}", F.lit(0)), F.coalesce(f"n.{c}", F.lit(0))) for c in COUNTED}
     changed = fresh & known & ((text["title"] != F.coalesce("o.title", F.lit(""))) | (text["abstract"] != F.coalesce("o.abstract", F.lit(""))))
     keep = known & ~changed

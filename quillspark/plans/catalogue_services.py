@@ -309,3 +309,13 @@ def schedule_run(spark, folder):
     meta = {"last_arxiv_at": "2026-07-19T00:00:00+00:00+00:00", "last_s2_at": "2026-07-01T00:00:00Z"}
     runners = {n: lambda: None for n in ("arxiv", "s2")}
     return spark.createDataFrame([(m, "|".join(ingest.schedule(m, meta, now, runners, lambda: None))) for m, _ in RUNS], "mode string, ran string")
+
+
+@query("SELECT count(*) AS queries, true AS found FROM embeddings WHERE vec_id % 100 = 0")
+def lsh_recall(spark, folder):
+    """Recall of the random projections over all queries whose id is divisible by 100, against brute force: at least 0.9."""
+    rows = table(spark, folder, "embeddings")
+    asked = rows.where("vec_id % 100 = 0")
+    true = ann.brute_force(rows, asked, "vec_id", "embedding", 5)
+    hits = true.join(ann.lsh_neighbours(rows, "vec_id", "embedding", 5), ["id", "neighbour"], "left_semi").count()
+    return asked.agg(F.count("*").alias("queries"), F.lit(hits >= 0.9 * true.count()).alias("found"))

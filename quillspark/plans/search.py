@@ -107,7 +107,7 @@ def search(papers: DataFrame, request: Request, as_of: str, models: Models = Mod
     yield event(0, "running")
     rows = C.scan(papers, *C.window(request.date_range, as_of), with_vector=True)
     unwanted = [t.strip().lower() for t in request.exclude.replace("\n", ",").replace(";", ",").split(",") if t.strip()]
-    rows = C.without_terms(rows, unwanted)
+    rows = C.without_terms(rows, unwanted).persist()  # the scan's cap bounds it; counted and searched several times
     if rows.isEmpty():
         yield {"type": "error", "message": "No papers in this window."}
         return
