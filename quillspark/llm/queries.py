@@ -35,6 +35,10 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_pairs(table(spark, folder, "papers"))
 
 
+def p5_classes(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.class_links(table(spark, folder, "papers"))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return venues.map_venues(table(spark, folder, "ingest_records"), table(spark, folder, "venue_list"))
 
@@ -52,4 +56,4 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_confidence, p4_found, p5_found, p6_found, p7_ids, p8_containers, p9_found)}
+    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_confidence, p4_found, p5_found, p5_classes, p6_found, p7_ids, p8_containers, p9_found)}

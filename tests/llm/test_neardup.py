@@ -89,3 +89,13 @@ def test_vertical_planes_move():
     for s in (1, 63, 64, 65, 130, 299):
         want = N.vertical(np.r_[bits[s:], np.zeros((s, 8), np.uint8)])
         assert (N.moved(planes, s, words) == want).all()
+
+
+def test_classes_with_links(spark):
+    """One row per text: copies share a class, near classes count as links, and none is expanded into pairs."""
+    base = [f"w{i}" for i in range(40)]
+    near = " ".join(base[:38] + ["x1", "x2"])
+    rows = [("a", " ".join(base)), ("b", " ".join(base).upper()), ("c", near), ("d", "something else"), ("e", None), ("a", " ".join(base))]
+    df = spark.createDataFrame(rows, "arxiv_id string, abstract string")
+    got = {r.id: (r.copies, r.links) for r in N.class_links(df).collect()}
+    assert got == {"a": (2, 1), "b": (2, 1), "c": (1, 1), "d": (1, 0)}
