@@ -293,15 +293,15 @@ def near_classes(texts: DataFrame, id_col: str, text_col: str, threshold: float
 
 
 def class_links(texts: DataFrame, id_col: str = "arxiv_id", text_col: str = "abstract", threshold: float = THRESHOLD, title_col: str = "title") -> DataFrame:
-    """(id, class, copies, links) of each row with a text: its class of equal word sets, the rows of the class, and the near classes.
+    """(id, class, copies, links) of each row with a text: the smallest id of its class of equal word sets, the rows of the class, and the near classes.
 
     The compact form of ``near_pairs``, whose size is that of the table however many copies there are. Equal ids are one row.
     """
     member, pairs = near_classes(texts, id_col, text_col, threshold, title_col if title_col in texts.columns else None)
     member = member.distinct()
     links = pairs.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("links"))
-    size = member.groupBy("class").agg(F.count("*").alias("copies"))
-    return member.join(size, "class").join(links, "class", "left").select("id", "class", "copies", F.coalesce("links", F.lit(0)).alias("links"))
+    size = member.groupBy("class").agg(F.count("*").alias("copies"), F.min("id").alias("first"))
+    return member.join(size, "class").join(links, "class", "left").select("id", F.col("first").alias("class"), "copies", F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def near_pairs(texts: DataFrame, id_col: str = "arxiv_id", text_col: str = "abstract", threshold: float = THRESHOLD, title_col: str = "title") -> DataFrame:
