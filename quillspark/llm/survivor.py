@@ -10,7 +10,7 @@ from itertools import groupby
 from operator import itemgetter
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -28,6 +28,8 @@ REMARKS = frozenset(
 SOURCE_ALIASES = {"s2": "semanticscholar", "arxivorg": "arxiv"}
 #: Counts from here on are overflow or filler values, not counts.
 IMPOSSIBLE = 5_000_000
+#: Seconds after which a count's vote is worth half, and the vote of a zero beside that of a positive count.
+HALF_LIFE, ZERO = 30 * 86_400, 1e-200
 #: A group's distinct values of a field are collected into one row up to this many, and streamed in sorted order beyond.
 GROUP_VALUES = 256
 #: Votes of a listed name, in those of the heaviest typed value: few values that agree among themselves outvote it.
@@ -202,12 +204,12 @@ def field_survivors(records: DataFrame, source_list: DataFrame, venue_list: Data
 
     Venues are settled in two steps: the place that is backed most recently and by the most trusted
     source, then the token-level consensus of the values that mean this place; places outside the list are told
-    apart by their first letters. The other fields hold one token, so nothing is to be aligned, and their vote is
-    ranked: of sources the best trust rank wins, of counts the latest fetched among those that can be
-    genuine (a listed source that reports counts, or an unlisted one; positive; below five million;
-    not the paper's year, the year with a digit, or thousands out of proportion); a zero survives
-    only where no positive count does. Null ids form no group. A field without a usable
-    value gives no row. Equal values are told apart by the smallest record_id. Extra columns are ignored.
+    apart by their first letters. The other fields hold one token, so all their values share one
+    column, whose weighted vote is an aggregate: a source weighs by its trust rank, a count by how recently
+    it was fetched, and only if it can be genuine (a listed source that reports counts, or an unlisted one;
+    positive; below five million; not the paper's year, the year with a digit, or thousands out of
+    proportion); a zero survives only where no positive count does. Null ids form no group. A field without
+    a usable value gives no row. Equal values are told apart by the smallest record_id. Extra columns are ignored.
 
     Shuffles carry values aggregated per id and value; a group of very many values is sorted and
     streamed through the same alignment.
@@ -226,17 +228,35 @@ def field_survivors(records: DataFrame, source_list: DataFrame, venue_list: Data
     return venues(base, venue_list).unionByName(counts(base, sources)).unionByName(trusted(base, sources))
 
 
+def column_vote(votes: DataFrame) -> DataFrame:
+    """(arxiv_id, n, token, first): the consensus of a column that holds one token a value, and the smallest record that holds it.
+
+    ``votes``: arxiv_id, token, weight, n, first. A field of one token is aligned as it stands: all its
+    values share one column. Every distinct token votes once with its weight, those of weight 0 not at all;
+    of equal votes the larger token wins. The vote is an aggregate, so groups may be of any size.
+    """
+    voice = F.when(F.col("weight") > 0, F.struct("weight", "token"))
+    won = F.max_by(F.when(F.col("weight") > 0, F.struct("token", "first")), voice).alias("won")
+    return votes.groupBy("arxiv_id").agg(F.sum("n").alias("n"), won).select("arxiv_id", "n", "won.token", "won.first")
+
+
 def trusted(base: DataFrame, sources: list[tuple]) -> DataFrame:
+    """The source with the most votes: each weighs two to the power of its negative trust rank; the record must hold the listed name."""
     if not sources:
         return base.where("false").select("arxiv_id", F.lit("source").alias("field"), "record_id")
     names = F.create_map(*[F.lit(x) for s in sources for x in (s[1], s[0])])
-    first = [F.min(F.when(F.col("source") == s[0], F.struct(F.lit(s[1]).alias("rank"), F.col("record_id")))).alias(f"s{i}") for i, s in enumerate(sources)]
-    per = base.groupBy("arxiv_id").agg(F.count("*").alias("n"), F.min("rank").alias("best"), *first).where((F.col("n") > 1) & names[F.col("best")].isNotNull())
-    hit = F.coalesce(*[F.when(F.col(f"s{i}.rank") == F.col("best"), F.col(f"s{i}.record_id")) for i in range(len(sources))])
-    return per.select("arxiv_id", F.lit("source").alias("field"), hit.alias("record_id")).where("record_id is not null")
+    exact = F.col("source") == F.try_element_at(names, F.col("rank"))
+    votes = base.groupBy("arxiv_id", "rank").agg(F.count("*").alias("n"), F.min(F.when(exact, F.col("record_id"))).alias("first"))
+    votes = votes.withColumn("token", F.try_element_at(names, F.col("rank"))).withColumn("weight", F.when(F.col("token").isNotNull(), F.pow(F.lit(2.0), -F.col("rank"))).otherwise(0.0))
+    return column_vote(votes).where("n > 1 and first is not null").select("arxiv_id", F.lit("source").alias("field"), F.col("first").alias("record_id"))
 
 
 def counts(base: DataFrame, sources: list[tuple]) -> DataFrame:
+    """The count with the most votes: a count weighs half for every ``HALF_LIFE`` seconds that it was fetched before the latest of its group.
+
+    Counts that cannot be genuine have no vote. One that looks like a year or is a multiple of a thousand has
+    one only beside an ordinary count that it does not exceed twentyfold and that is not newer; a zero weighs next to nothing.
+    """
     silent = [s[1] for s in sources if s[2] is False] or [-1]
     c, year = F.col("cites"), F.coalesce(F.concat(F.lit("20"), F.regexp_extract("arxiv_id", r"^(\d{2})\d{2}\.", 1)).try_cast("int"), F.col("dated"))
     odd = (c == year) | (c == F.col("dated")) | (F.floor(c / 10) == year) | (F.floor(c / 10) == F.col("dated")) | (c % 1000 == 0)
@@ -246,17 +266,15 @@ def counts(base: DataFrame, sources: list[tuple]) -> DataFrame:
     value = rows.groupBy("arxiv_id", "cites", "kind").agg(F.count("*").alias("n"), F.min("record_id").alias("first"), F.max("at").alias("at"))
     # the same count may stand in usable and unusable rows: the smallest record of either holds it
     value = value.groupBy("arxiv_id", "cites").agg(F.sum("n").alias("n"), F.min("first").alias("first"), *[F.max(F.when(F.col("kind") == k, F.col("at"))).alias(k) for k in ("plain", "odd", "zero")])
-    pick = F.struct("cites", "first")
-    per = value.groupBy("arxiv_id").agg(
-        F.sum("n").alias("n"),
-        *[F.max_by(F.when(F.col(k).isNotNull(), pick), F.when(F.col(k).isNotNull(), F.struct(k, "cites"))).alias(k) for k in ("plain", "odd", "zero")],
-        F.max("plain").alias("plain_at"),
-        F.max("odd").alias("odd_at"),
-        F.max(F.when(F.col("plain").isNotNull(), F.col("cites"))).alias("most"),
-    )
-    fits = F.col("odd").isNotNull() & F.col("most").isNotNull() & (F.col("odd_at") >= F.col("plain_at")) & F.col("odd.cites").between(F.col("most"), 20 * F.col("most"))
-    best = F.when(fits, F.col("odd.first")).otherwise(F.coalesce(F.col("plain.first"), F.col("zero.first")))
-    return per.where("n > 1").select("arxiv_id", F.lit("citation_count").alias("field"), best.alias("record_id")).where("record_id is not null")
+    group = value.groupBy("arxiv_id").agg(F.max("plain").alias("plain_at"), F.max(F.when(F.col("plain").isNotNull(), F.col("cites"))).alias("most"), F.max(F.greatest("plain", "odd", "zero")).alias("newest"))
+
+    def fresh(k: str) -> Column:
+        return F.pow(F.lit(2.0), (F.col(k) - F.col("newest")) / HALF_LIFE)
+
+    fits = (F.col("odd") >= F.col("plain_at")) & F.col("cites").between(F.col("most"), 20 * F.col("most"))
+    weight = F.greatest(fresh("plain"), F.when(fits, fresh("odd")), ZERO * fresh("zero"), F.lit(0.0))
+    votes = value.join(group, "arxiv_id").select("arxiv_id", F.col("cites").alias("token"), "n", "first", weight.alias("weight"))
+    return column_vote(votes).where("n > 1 and first is not null").select("arxiv_id", F.lit("citation_count").alias("field"), F.col("first").alias("record_id"))
 
 
 def venues(base: DataFrame, venue_list: DataFrame) -> DataFrame:

@@ -105,3 +105,10 @@ def test_places_outside_the_list_are_told_apart(spark):
     rows = [(1, "a", "Forum for Ivory Hydrology", None, "Web Crawl", 1), (2, "a", "Forum for Ivory Hydrology", None, "Web Crawl", 2), (3, "a", "Velvet Ontology Roundtab", None, "Publisher Feed", 8), (4, "a", "Velvet Ontology Roundtable", None, "Publisher Feed", 9)]
     assert run(spark, rows)[("a", "venue")] == 4
     assert S.unlisted("Forum for Iv") == S.unlisted("Frm. for Ivory Hydrol. 12") != S.unlisted("Velvet Ontology")
+
+
+def test_columns_of_one_token_are_voted_on(spark):
+    """Every distinct token votes once with its weight; weight 0 is no vote; equal votes go to the larger token; counts of rows decide nothing."""
+    rows = [("a", 5, 0.5, 100, 7), ("a", 9, 0.7, 1, 8), ("a", 3, 0.7, 1, 9), ("b", 1, 0.0, 4, 1), ("c", 2, 1e-200, 1, 2), ("c", None, 0.0, 1, 3)]
+    got = {r.arxiv_id: tuple(r)[1:] for r in S.column_vote(spark.createDataFrame(rows, "arxiv_id string, token int, weight double, n int, first long")).collect()}
+    assert got == {"a": (102, 9, 8), "b": (4, None, None), "c": (2, 2, 2)}
