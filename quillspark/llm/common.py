@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import unicodedata
 import uuid
@@ -21,7 +23,9 @@ def shared_dir(spark: SparkSession) -> str:
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIR:
-        _OWN_DIR[app] = "file://" + tempfile.mkdtemp(prefix="quillspark-")
+        path = tempfile.mkdtemp(prefix="quillspark-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
+        _OWN_DIR[app] = "file://" + path
     return _OWN_DIR[app]
 
 
