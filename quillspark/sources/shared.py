@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import json
+import shutil
 import tempfile
 import uuid
 
@@ -17,7 +19,9 @@ def work_dir(spark: SparkSession, name: str = "work") -> str:
         return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return "file://" + tempfile.mkdtemp(prefix=f"quillspark-{name}-")
+    path = tempfile.mkdtemp(prefix=f"quillspark-{name}-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return "file://" + path
 
 
 def materialised(df: DataFrame) -> DataFrame:
